@@ -1,12 +1,12 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and streaming decode.
 
 The merges of a rank file are compiled on demand into a deterministic transducer over
-bytes. A state is (last emitted token, pending bytes). Every prefix of the input has one
-BPE encoding, and adjacent tokens of an encoding are pairs that re-encode to themselves,
-so the last token at each position follows from the tokens that end there and the last
-tokens before them. Reading a byte, the transducer keeps the positions where a longer
-token might still start; tokens on which the encodings up to all of these positions agree
-are emitted. No token is longer than the longest of the vocabulary, which bounds the
+bytes, with the last emitted token in a register. Every prefix of the input has one BPE encoding, and
+adjacent tokens of an encoding are pairs that re-encode to themselves, so the last token at
+each position follows from the tokens that end there and the last tokens before them. A state holds
+the positions of the pending bytes where a longer token might still start, each with the
+encoding up to it; tokens on which all of these agree are emitted. Only a token that starts
+at the first pending byte looks at the register, so an arc has two forms. No token is longer than the longest of the vocabulary, which bounds the
 lookahead. States and arcs are made when first met and dropped together when there are
 too many; that changes speed only.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from .common import ship
 
-MAX_STATES = 250_000
+MAX_STATES = 300_000
 MAX_PIECES = 600_000
 
 
@@ -58,15 +58,14 @@ class Transducer:
                 node = to
             self.token_at[node] = rank
         self._single: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self._ids: dict[tuple[int, bytes], int] = {}
-        self._states: list[tuple[int, bytes, tuple]] = []
-        self._arcs: dict[int, tuple[int, bytes]] = {}
-        self._final: dict[int, bytes] = {}
-        self._state(-1, b"", ((0, 0, ()),))
+        self._ids: dict[tuple, int] = {}
+        self._states: list[tuple] = []
+        self._arcs: dict[int, list] = {}
+        self._state(((0, 0, ()),), 0)
 
     def merge(self, text: bytes) -> list[int]:
         """The defining procedure, for short strings: merge the lowest rank, leftmost first."""
@@ -89,27 +88,35 @@ class Transducer:
         return known
 
     def _adjacent(self, a: int, b: int) -> bool:
-        known = self._pairs.get((a, b))
+        known = self._pairs.get(a << 32 | b)
         if known is None:
             if len(self._pairs) > 2_000_000:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self._pairs[a << 32 | b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
-    def _state(self, last: int, pending: bytes, live: tuple) -> int:
-        """live: the positions of pending where a token may start, each with its node of the trie
-        and the encoding up to it as (end, token) pairs."""
-        key = (last, pending)
-        known = self._ids.get(key)
+    def _state(self, live: tuple, size: int) -> int:
+        """live: the positions of the pending bytes where a token may start, each with its node of
+        the trie and the encoding up to it as (end, token) pairs; size: how many bytes are pending."""
+        known = self._ids.get(live)
         if known is None:
-            known = self._ids[key] = len(self._states)
-            self._states.append((last, pending, live))
+            known = self._ids[live] = len(self._states)
+            self._states.append((live, size))
         return known
 
-    def _arc(self, state: int, byte: int) -> tuple[int, bytes]:
-        last, pending, live = self._states[state]
-        pending += bytes((byte,))
-        n = len(pending)
+    def _entry(self, state: int, byte: int) -> list:
+        """[the token from the first pending byte to this one or -1, arc if it may follow the last
+        emitted token, arc otherwise]; arcs are made when first taken."""
+        start, node, _ = self._states[state][0][0]
+        to = self.trie.get(node << 8 | byte) if start == 0 else None
+        token = self.token_at[to] if to is not None else -1
+        entry = self._arcs[state << 8 | byte] = [token if token >= 0 and self._reached(token) else -1, None, None]
+        return entry
+
+    def _arc(self, state: int, byte: int, first: int) -> tuple[int, bytes, int]:
+        """(next state, ids to emit, last of them or -1); first: the token of the entry, -1 if it may not end here."""
+        live, size = self._states[state]
+        n = size + 1
         still = []
         ending = None
         for start, node, chain in live:
@@ -117,62 +124,72 @@ class Transducer:
             if node is None:
                 continue
             if ending is None:
-                token = self.token_at[node]
-                if token >= 0 and self._reached(token):
-                    before = chain[-1][1] if chain else last
-                    if before < 0 or self._adjacent(before, token):
+                if start == 0:
+                    ending = ((n, first),) if first >= 0 else None
+                else:
+                    token = self.token_at[node]
+                    if token >= 0 and self._reached(token) and self._adjacent(chain[-1][1], token):
                         ending = (*chain, (n, token))
             still.append((start, node, chain))
         still.append((n, 0, ending))
-        out = b""
-        if still[0][0]:
-            settled, head = 0, still[0][2]
-            shortest = min(len(x[2]) for x in still)
-            while settled < shortest and all(x[2][settled] == head[settled] for x in still):
-                settled += 1
-            if settled:
-                said = head[:settled]
-                cut, last = said[-1]
-                still = [(q - cut, node, tuple((e - cut, t) for e, t in c[settled:])) for q, node, c in still]
-                out, pending = b"".join([self.packed[t] for _, t in said]), pending[cut:]
-        arc = self._arcs[state << 8 | byte] = (self._state(last, pending, tuple(still)), out)
-        return arc
-
-    def _finish(self, state: int) -> bytes:
-        known = self._final.get(state)
-        if known is None:
-            chain = self._states[state][2][-1][2]  # the last live position is the end of pending
-            known = self._final[state] = b"".join([self.packed[t] for _, t in chain])
-        return known
+        if not still[0][0]:
+            return self._state(tuple(still), n), b"", -1
+        head = still[0][2]
+        settled = len(head)
+        for _, _, chain in still:
+            k = 0
+            while k < settled and k < len(chain) and chain[k] == head[k]:
+                k += 1
+            settled = k
+        if not settled:
+            return self._state(tuple(still), n), b"", -1
+        cut, last = head[settled - 1]
+        out = b"".join([self.packed[t] for _, t in head[:settled]])
+        rest = tuple([(q - cut, node, tuple([(e - cut, t) for e, t in c[settled:]])) for q, node, c in still])
+        return self._state(rest, n - cut), out, last
 
     def encode(self, piece: bytes) -> bytes:
         """The ids as little-endian 32-bit integers. A piece that is a token stays whole."""
         whole = self.ranks.get(piece)
         if whole is not None:
-            return whole.to_bytes(4, "little")
+            return self.packed[whole]
         if len(self._states) > MAX_STATES:
             self._clear()
-        state, out, arcs = 0, b"", self._arcs.get
+        state, last, out, arcs = 0, -1, b"", self._arcs.get
         for byte in piece:
-            arc = arcs(state << 8 | byte)
-            state, said = arc if arc is not None else self._arc(state, byte)
-            if said:
+            entry = arcs(state << 8 | byte) or self._entry(state, byte)
+            first = entry[0]
+            if first >= 0 and (last < 0 or self._adjacent(last, first)):
+                arc = entry[1]
+                if arc is None:
+                    arc = entry[1] = self._arc(state, byte, first)
+            else:
+                arc = entry[2]
+                if arc is None:
+                    arc = entry[2] = self._arc(state, byte, -1)
+            state, said, emitted = arc
+            if emitted >= 0:
                 out += said
-        return out + self._finish(state)
+                last = emitted
+        # the last live position is the end of what is pending
+        return out + b"".join([self.packed[t] for _, t in self._states[state][0][-1][2]])
 
 
 class Pieces(dict):
-    """Encoded pieces by text; bounded, refilled on demand."""
+    """Encoded pieces by text, in two generations: when the young one is full it becomes the old."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.old = transducer, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > MAX_PIECES:
-            self.clear()
-        ids = self.transducer.encode(piece.encode())
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode())
         if len(piece) <= 64:
+            if len(self) >= MAX_PIECES:
+                self.old = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
