@@ -81,7 +81,7 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 class Model:
     langs: list[str]
     code: np.ndarray  # byte -> class; class 0 occurs in no training text
-    step: np.ndarray  # state * classes + class -> state, or -1
+    step: np.ndarray  # state * classes + class -> state, or -1; a last state without arcs follows unknown bytes
     roots: np.ndarray
     weight: np.ndarray  # bits of a phrase: log2 of the training size
 
@@ -103,7 +103,7 @@ class Model:
         state = np.repeat(self.roots[:, None], len(row), axis=1)
         count = np.ones((len(self.langs), len(row)), np.int32)
         fresh = self.step[(self.roots[:, None] * classes) + np.arange(classes)]
-        fresh = np.where(fresh < 0, self.roots[:, None], fresh)
+        fresh = np.where(fresh < 0, len(self.step) // classes - 1, fresh)  # the last state goes nowhere
         alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
         for t in range(size[0]):
             k = alive[t]
@@ -140,6 +140,7 @@ def build(texts: dict[str, bytes]) -> Model:
         roots.append(total)
         total += len(nxt)
     sizes = np.array([max(len(lowered[k]), 2) for k in langs], float)
+    parts.append(np.full(classes, -1, np.int32))
     return Model(langs, code, np.concatenate(parts), np.array(roots, np.int64), np.log2(sizes))
 
 
