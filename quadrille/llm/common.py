@@ -171,13 +171,20 @@ def sample_ids(rows: DataFrame, id_col: str, strata: list[str], per_stratum: int
     """At most per_stratum ids of each stratum, in the order of a hash of the id.
 
     Reads only the id and the strata; the result is bounded by parameter, so it may be broadcast.
+    A threshold on the hash, from each stratum's count, leaves about twice the wanted rows before
+    they are ranked, whatever the number of tasks.
     """
     from pyspark.sql import Window
 
+    scale = 1 << 20
+    size = rows.groupBy(*strata).agg(F.count("*").alias("_size"))
+    few = F.pmod(F.xxhash64(F.col(id_col)), F.lit(scale)) * F.col("_size") < (2 * per_stratum + 64) * scale
     w = Window.partitionBy(*strata).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col))
     return (
         rows.select(id_col, *strata)
+        .join(size, strata)
+        .filter(few)
         .withColumn("_rank", F.row_number().over(w))
         .filter(F.col("_rank") <= per_stratum)
-        .drop("_rank")
+        .drop("_rank", "_size")
     )
