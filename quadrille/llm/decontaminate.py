@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are reduced to templates: words with a digit, names (capitalised inside a sentence) and
-units become typed placeholders, the rest is lowered and freed of punctuation. Windows of W
+units after a number become typed placeholders, the rest is lowered and freed of punctuation. Windows of W
 template words are hash-joined with those of the benchmark. Matches of a document and an item at
 one displacement form an alignment; its slots (what stood behind the placeholders) must be
 consistent: one item value always faces the same document value. An alignment that covers
@@ -74,7 +74,9 @@ def template(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     breaks = np.concatenate(([0], np.cumsum(_BREAK[buf])))
     inside = np.zeros(len(s), bool)
     inside[1:] = (row[1:] == row[:-1]) & (breaks[place[s[1:]]] == breaks[place[e[:-1] - 1]])
-    key = np.where(np.isin(raw, _UNIT_KEYS), UNIT, raw)
+    after = np.zeros(len(s), bool)
+    after[1:] = number[:-1] & (row[1:] == row[:-1])
+    key = np.where(after & np.isin(raw, _UNIT_KEYS), UNIT, raw)
     key = np.where(title & inside, NAME, key)
     return np.where(number, NUMBER, key), raw, row
 
