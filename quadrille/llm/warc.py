@@ -10,7 +10,7 @@ gives one nested row each; revisits then take payload facts from the response th
 
 Defined results: null payload counts as empty; of equal payloads of at least `revisit_from` bytes
 the largest page_id responds, ties of repeated rows respond too; null urls are
-written as an empty target; records without a response partner form a capture with null
+written as an empty target; a null page_id responds and stays null; records without a response partner form a capture with null
 parts; empty tables give an empty result; extra columns are ignored.
 """
 
@@ -60,7 +60,8 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
     slim = rows.select("page_id", "digest", "size")
     last = slim.filter(F.col("size") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("first_id"))
     chosen = slim.select("page_id", "digest").distinct().join(last, "digest", "left").select("page_id", "digest", F.coalesce("first_id", "page_id").alias("first_id"))
-    rows = rows.join(chosen, ["page_id", "digest"])
+    chosen = chosen.withColumnsRenamed({"page_id": "their_id", "digest": "their_digest"})
+    rows = rows.join(chosen, F.col("page_id").eqNullSafe(F.col("their_id")) & (F.col("digest") == F.col("their_digest"))).drop("their_id", "their_digest")
     copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1
     rows = rows.withColumn("copy", copy)
     revisits = F.col("page_id") != F.col("first_id")
@@ -87,7 +88,7 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
     facts = _record(
         "metadata", _id("metadata", F.col("page_id"), F.col("digest"), F.col("copy")), uri,
         [*partner, ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")),
+        F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")),
     )
     records = rows.select(F.explode(F.array(request, answer, facts)).alias("value"))
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 30_000).text(path)
@@ -190,7 +191,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
     captures = assemble(read_records(spark, path, with_payload=False))
-    page = F.regexp_extract("metadata.block", "page-id: (-?[0-9]+)", 1).cast("long")
+    page = F.regexp_extract("metadata.block", "page-id: (-?[0-9]+)", 1).try_cast("long")
     flat = captures.select("capture_id", page.alias("page_id"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("source"), F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_digest").alias("digest"))
     whole = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("source"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("their_bytes"), F.col("digest").alias("their_digest"))
     return flat.join(whole, "source", "left").select(
