@@ -7,6 +7,7 @@ the longest single text, and no Python object is made per word.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -21,6 +22,11 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 BLOCK_BYTES = 1 << 20
+#: Strata, and ids or other rows of a few numbers, that may be broadcast; beyond it they are joined.
+BROADCAST_STRATA = 100_000
+ROWS_A_TASK = 50_000
+BROADCAST_IDS = 2_000_000
+_written: list[str] = []
 
 # Word separators of every operator here are space and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -150,10 +156,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """A checkpoint, read by a task for each ROWS_A_TASK rows: few rows make few shuffle files later."""
+    df = checkpoint(df)
+    return df.coalesce(df.count() // ROWS_A_TASK + 1)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once as Parquet in the shared folder and read it back, columns prunable."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -163,6 +175,38 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored frame that is not read again."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files whose frames are gone; it waits for the collector otherwise."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its rows, of a few numbers each, are at most BROADCAST_IDS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what this driver's operators stored; call it when their results are no longer read."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, which sweep() will delete."""
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -177,7 +221,9 @@ def sample_ids(rows: DataFrame, id_col: str, strata: list[str], per_stratum: int
     from pyspark.sql import Window
 
     scale = 1 << 20
-    size = rows.groupBy(*strata).agg(F.count("*").alias("_size"))
+    size = checkpoint(rows.groupBy(*strata).agg(F.count("*").alias("_size")))
+    if size.count() <= BROADCAST_STRATA:  # else the rows would be dealt out by stratum, of which one may be large
+        size = F.broadcast(size)
     few = F.pmod(F.xxhash64(F.col(id_col)), F.lit(scale)) * F.col("_size") < (2 * per_stratum + 64) * scale
     w = Window.partitionBy(*strata).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col))
     return (
