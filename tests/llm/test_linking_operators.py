@@ -81,6 +81,32 @@ def test_chains_in_a_large_group(spark, monkeypatch):
     assert got == plain_components(rows, 3, 90)
 
 
+def test_without_broadcasts(spark, monkeypatch):
+    from quadrille.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(common, "BROADCAST_STRATA", -1)
+    monkeypatch.setattr(jaccard, "EDGES_A_TASK", -1)
+    rows = corpus(7)
+    df = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in rows], "doc_id long, text string, kind string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 3, 90).collect()}
+    assert got == plain_components(rows, 3, 90)
+    ids = common.sample_ids(df, "doc_id", ["kind"], 3).collect()
+    assert sorted(r.kind for r in ids) == ["a"] * 3 + ["b"] * 3
+
+
+def test_sweep_deletes(spark, tmp_path):
+    from quadrille.llm import common
+
+    common.stored(spark.range(3).toDF("a"), "kept")
+    path = common._written[-1]
+    assert spark.read.parquet(path).count() == 3
+    common.sweep(spark)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file:")) and not common._written
+
+
 def test_keys_find_every_link():
     """Sets that differ as much as the threshold allows share a key, also when parts are empty."""
     rng = np.random.default_rng(1)
