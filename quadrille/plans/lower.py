@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ..errors import PanelError
 from ..functions import scalar
 from ..functions.registry import OPS, TS, XS, Frame, duration_window
-from ..operators.periods import DURATION
 from ..sources.kinds import AGG_OF_KIND, kind_of
 from . import nodes as N
 from .needs import bound_universe, root_chain
@@ -108,7 +107,7 @@ class Lowering:
                     raise PanelError("E-MODEL-CONTEXT", f"{e.name}() cannot stand here")
                 args = []
                 for i, a in enumerate(e.args):
-                    if i in op.raw and not (e.name == "clamp" and i == 0):
+                    if i in op.raw:
                         a = N.Literal(-a.operand.value) if isinstance(a, N.Unary) and a.op == "-" and isinstance(a.operand, N.Literal) else a
                         if not isinstance(a, N.Literal):
                             raise PanelError("E-ARG-LITERAL", f"argument {i + 1} of {e.name} must be a literal")
