@@ -6,9 +6,9 @@ in one band or in neighbours. Within a band sets that link differ in at most k
 shingles; shingles are hashed into k + 1 + e parts, so more than e parts agree and,
 unless a set leaves more than e parts empty, one of them is not empty. The content of
 a part is the key of a tile. Sets with more than e empty parts also meet through pairs
-of empty parts. Tiles first link each member to one centre (linear); only where that
-leaves a tile in several components are members of different components compared,
-block by block: parity bitmaps bound the overlap from above (each differing bit needs
+of empty parts. Tiles first link each member to one centre, then to a few others (linear
+each time); only where that leaves a tile in several components are members of different
+components compared, block by block: parity bitmaps bound the overlap from above (each differing bit needs
 a shingle in one set only), and what survives is decided by exact intersection of
 the sorted arrays.
 
@@ -24,15 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, Block, checkpoint, mix, ship, stored, text_blocks, window_hashes, word_hashes, words
+from .common import LOWER, U, Block, checkpoint, compact, discard, if_small, mix, release, ship, stored, text_blocks, window_hashes, word_hashes, words
 
-#: Ids that may be broadcast to fetch payloads; beyond it a shuffle join is used.
-BROADCAST_IDS = 2_000_000
 #: Occurrences of one key within a task's block from which its rows are spread out.
 LOCAL_HOT = 32
+#: Rounds of further centres; what they leave apart is compared in tiles.
+CENTRES = 5
+#: Distinct edges that one task may contract.
+EDGES_A_TASK = 500_000
 #: Rows of a block in one tile comparison.
 TILE = 512
 #: (key, node) rows held in a task before they are pre-aggregated and sent.
@@ -126,20 +129,33 @@ def signatures(sets: list[np.ndarray], nodes: np.ndarray, bands: Bands) -> tuple
             pair = (gaps[a] << U(24)) + gaps[b]
             keys.append(mix(mix(pair + U(0xE0E0)) ^ (U(int(band[i])) + U(1))))
             owners.append(np.full(len(a), nodes[i]))
-    return np.concatenate(keys), np.concatenate(owners)
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *keys]), np.concatenate([none, *owners])
 
 
 def bitmap(shingles: np.ndarray, p: int) -> np.ndarray:
-    """Parity bitmap: each shingle toggles a bit; as many bits as four times the allowed difference."""
+    """Parity bitmap: each shingle toggles a bit; as many bits as sixteen times the allowed difference."""
     k = (100 - p) * 2 * len(shingles) // (100 + p)
     bits = 64
-    while bits < 4 * k and bits < 1 << 15:
+    while bits < 16 * k and bits < 1 << 17:
         bits *= 2
     at = (mix(shingles ^ U(0xB17)) & U(bits - 1)).astype(np.int64)
     odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The leading 40 bits of sorted hashes; order and, within a pair of texts, identity are kept."""
+    return np.ascontiguousarray(shingles.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def unpacked(data: pa.Buffer) -> np.ndarray:
+    five = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, 3:] = five
+    return out.view(np.uint64).ravel()
+
+
 def fold(x: np.ndarray, width: int) -> np.ndarray:
     while len(x) > width:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
@@ -183,7 +199,7 @@ def _sets_task(n: int):
 
 
 def _keys_task(n: int, p: int):
-    names = ["pk", "sig", "node", "centre", "hot"]
+    names = ["sig", "node", "centre"]
 
     def sent(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
         key, node = np.concatenate(keys), np.concatenate(nodes)
@@ -197,15 +213,9 @@ def _keys_task(n: int, p: int):
         count = np.diff(np.append(starts, len(key)))
         group = np.repeat(np.arange(len(starts)), count)
         crowded = count[group] > LOCAL_HOT
-        is_first = np.zeros(len(key), bool)
-        is_first[starts] = True
-        passed = crowded & ~is_first
+        # in a crowd all but the first are dealt out by node and have the first as centre, as it has itself
         centre = node[starts[group]] if len(key) else node
-        pk = np.where(passed, mix(node ^ key), key)
-        return pa.record_batch(
-            [_signed(pk), _signed(key), _signed(node), pa.array(centre.view(np.int64), mask=~passed), pa.array(crowded)],
-            names=names,
-        )
+        return pa.record_batch([_signed(key), _signed(node), pa.array(centre.view(np.int64), mask=~crowded)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, keys, nodes, held = Bands(p), [], [], 0
@@ -242,11 +252,14 @@ def _star_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         sig, node = (np.asarray(batch.column(i)) for i in (0, 1))
-        centre = batch.column(2)
-        given = np.asarray(centre.is_valid())
-        hot = np.asarray(batch.column(3))
-        out = [(sig[given], node[given], np.asarray(centre.filter(pa.array(given))))]
+        centre = np.asarray(pc.coalesce(batch.column(2), batch.column(1)))
+        hot = np.asarray(batch.column(2).is_valid())
+        given = hot & (centre != node)
+        out = [(sig[given], node[given], centre[given])]
         sig, node, hot = sig[~given], node[~given], hot[~given]
+        fresh = np.ones(len(sig), bool)  # equal rows of several tasks count once within a batch
+        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | hot[1:]
+        sig, node, hot = sig[fresh], node[fresh], hot[fresh]
         if len(sig):
             starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             count = np.diff(np.append(starts, len(sig)))
@@ -283,7 +296,7 @@ def _payload_task(n: int, p: int):
                         batch.column(0).slice(at, len(sets)),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([bitmap(x, p).tobytes() for x in sets], pa.binary()),
-                        pa.array([x.tobytes() for x in sets], pa.binary()),
+                        pa.array([packed(x) for x in sets], pa.binary()),
                     ],
                     names=["node", "size", "bits", "shingles"],
                 )
@@ -292,59 +305,65 @@ def _payload_task(n: int, p: int):
     return run
 
 
-def _verify_task(p: int):
+def _screen_task(p: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, bx, ax, by, ay = (batch.column(i) for i in range(6))
-            keep = []
-            for i in range(batch.num_rows):
-                a, b = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (ax, ay))
-                u, v = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (bx, by))
-                keep.append(may_link(len(a), u, len(b), v, p) and links(a, b, p))
-            mask = pa.array(keep, pa.bool_())
+            x, y, nx, bx, ny, by = (batch.column(i) for i in range(6))
+            nx, ny = np.asarray(nx), np.asarray(ny)
+            view = lambda c, i: np.frombuffer(c[i].as_buffer(), np.uint64)
+            mask = pa.array([may_link(nx[i], view(bx, i), ny[i], view(by, i), p) for i in range(batch.num_rows)], pa.bool_())
             yield pa.record_batch([x.filter(mask), y.filter(mask)], names=["x", "y"])
 
     return run
 
 
-def _tile_task(p: int):
-    """Sorted rows of tiles: pairs of different components, one of them from the row side, that may link."""
+def _exact_task(p: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, ax, ay = (batch.column(i) for i in range(4))
+            mask = pa.array([links(unpacked(ax[i].as_buffer()), unpacked(ay[i].as_buffer()), p) for i in range(batch.num_rows)], pa.bool_())
+            yield pa.record_batch([x.filter(mask), y.filter(mask)], names=["x", "y"])
+
+    return run
+
+
+def _tile_task(p: int, nearest: bool):
+    """Sorted rows of tiles: pairs (x, y) of different components, one of them from the left side, that may
+    link. nearest: for each row only the other whose bitmap differs least; `more` says that there were others."""
 
     def pairs(side: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, bits: list[np.ndarray]):
         width = min(len(b) for b in bits)
         flat = np.stack([fold(b, width) for b in bits])
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = []
+        left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
         for i in left:
             j = right[label[right] != label[i]]
             j = j[(100 * np.minimum(size[j], size[i]) >= p * np.maximum(size[j], size[i]))]
             if len(j):
                 differ = np.bitwise_count(flat[j] ^ flat[i]).sum(axis=1, dtype=np.int64)
-                j = j[(100 + p) * differ <= (100 - p) * (size[j] + size[i])]
-                found += [(min(node[i], node[k]), max(node[i], node[k])) for k in j]
-        return found
+                near = (100 + p) * differ <= (100 - p) * (size[j] + size[i])
+                j, differ = j[near], differ[near]
+                more = nearest and len(j) > 1
+                for k in j[np.argsort(differ, kind="stable")[:1]] if more else j:
+                    yield min(node[i], node[k]), max(node[i], node[k]), more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def work(t: pa.Table) -> pa.RecordBatch:
-            tile = np.stack([np.asarray(t.column(c)) for c in ("sig", "i", "j")])
-            cut = np.flatnonzero(np.concatenate(([True], (tile[:, 1:] != tile[:, :-1]).any(axis=0), [True])))
+            sig, tile = (np.asarray(t.column(c)) for c in ("sig", "tile"))
+            cut = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (tile[1:] != tile[:-1]), [True])))
             side, node, label, size = (np.asarray(t.column(c)) for c in ("side", "node", "label", "size"))
             bits = [np.frombuffer(b.as_buffer(), np.uint64) for b in t.column("bits")]
-            out = set()
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                out.update(pairs(side[a:b], node[a:b], label[a:b], size[a:b], bits[a:b]))
-            out = sorted(out)
-            return pa.record_batch([pa.array([q[k] for q in out], pa.int64()) for k in (0, 1)], names=["x", "y"])
+            out = {(x, y, sig[a] if more else None) for a, b in zip(cut[:-1], cut[1:], strict=True) for x, y, more in pairs(side[a:b], node[a:b], label[a:b], size[a:b], bits[a:b])}
+            return pa.record_batch([pa.array([q[k] for q in out], pa.int64()) for k in range(3)], names=["x", "y", "more"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([rest, t]) if rest is not None else t
             if not t.num_rows:
                 continue
-            key = [np.asarray(t.column(c)) for c in ("sig", "i", "j")]
-            last = np.flatnonzero(~((key[0] == key[0][-1]) & (key[1] == key[1][-1]) & (key[2] == key[2][-1])))
+            sig, tile = np.asarray(t.column("sig")), np.asarray(t.column("tile"))
+            last = np.flatnonzero((sig != sig[-1]) | (tile != tile[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             rest = t.slice(cut)
             if cut:
@@ -355,13 +374,33 @@ def _tile_task(p: int):
     return run
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (a, b) of a graph that is known to be small: the root of each node, by union-find."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable over edges (x, y), by alternating star contraction.
+    """(node, root): the least node reachable over edges (x, y).
 
-    Rounds grow with the logarithm of a component's diameter; each works on distinct edges
-    with map-side aggregation and ends in a reliable checkpoint.
+    At most EDGES_A_TASK distinct edges are contracted in one task. More are contracted by alternating
+    stars: rounds grow with the logarithm of a component's diameter; each works on distinct edges with
+    map-side aggregation and ends in a reliable checkpoint.
     """
     e = checkpoint(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).filter("a <> b").distinct())
+    if e.count() <= EDGES_A_TASK:
+        return compact(e.coalesce(1).mapInArrow(_contract, "node long, root long"))
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -378,7 +417,33 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(now) == mark:
             break
         mark = tuple(now)
-    return e.unionByName(e.select(F.col("b").alias("a"), "b")).distinct().select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return compact(e.unionByName(e.select(F.col("b").alias("a"), "b")).distinct()).select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def tiles(rows: DataFrame, payload: DataFrame, p: int, nearest: bool) -> DataFrame:
+    """(x, y, more): pairs of nodes of one key but different components whose bitmaps allow a link; more is
+    the key where a node had further candidates that were left out.
+
+    Rows are (sig, node, label, main, all). Only nodes outside a key's main component are compared with the
+    others: blocks of TILE nodes meet each block of the key once, and most keys are one block.
+    """
+    blocks = F.ceil(F.col("all") / TILE).cast("int")
+    mine = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
+    side = F.when(F.col("label") != F.col("main"), 1).otherwise(0)
+    each = F.sequence(F.lit(0), blocks - 1)
+    # a node stands left in its block's row of tiles and right in its column; where they cross, or alone, once
+    place = F.when(blocks == 1, F.array(F.struct(F.lit(0).alias("tile"), (side + 2).alias("side")))).otherwise(
+        F.concat(
+            F.transform(F.when(side == 1, each).otherwise(F.array().cast("array<int>")), lambda j: F.struct((mine * blocks + j).alias("tile"), F.lit(1).alias("side"))),
+            F.transform(each, lambda i: F.struct((i * blocks + mine).alias("tile"), F.lit(2).alias("side"))),
+        )
+    )
+    return (
+        rows.join(payload.select("node", "size", "bits"), "node").withColumn("at", F.explode(place))
+        .select("sig", F.col("at.tile").alias("tile"), F.col("at.side").alias("side"), "node", "label", "size", "bits")
+        .repartition("sig", "tile").sortWithinPartitions("sig", "tile")
+        .mapInArrow(_tile_task(p, nearest), "x long, y long, more long")
+    )
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
@@ -391,53 +456,71 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stored(text.mapInArrow(_sets_task(n), "doc_id long, n_shingles long, node long"), "sets")
     first = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    keys = text.select("text").mapInArrow(_keys_task(n, p), "pk long, sig long, node long, centre long, hot boolean")
+    keys = text.select("text").mapInArrow(_keys_task(n, p), "sig long, node long, centre long")
     members = stored(
-        keys.repartition("pk").select("sig", "node", "centre", "hot").sortWithinPartitions("sig", "node")
+        keys.repartition(F.when(F.col("centre") != F.col("node"), F.col("node")).otherwise(F.col("sig"))).sortWithinPartitions("sig", "node")
         .mapInArrow(_star_task, "sig long, node long, centre long"),
         "members",
     )
+    release(spark)
     star = members.filter("node <> centre").select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y")).distinct()
-    star = checkpoint(star)
-    active = checkpoint(
+    star = compact(star)
+    active = compact(
         star.select(F.col("x").alias("node")).union(star.select(F.col("y").alias("node"))).distinct()
         .join(first, "node").select(F.col("rep").alias("doc_id"), "node")
     )
-    wanted = F.broadcast(active) if active.count() <= BROADCAST_IDS else active
-    texts = text.join(wanted, "doc_id").select("node", "text")
+    texts = text.join(if_small(active), "doc_id").select("node", "text")
     payload = stored(texts.mapInArrow(_payload_task(n, p), "node long, size long, bits binary, shingles binary"), "payload")
     if payload.count() > active.count():  # a document id came in several rows
         payload = stored(payload.dropDuplicates(["node"]), "payload")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda c: payload.select(F.col("node").alias(c), F.col("bits").alias(f"b{c}"), F.col("shingles").alias(f"s{c}"))
-        rows = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "bx", "sx", "by", "sy")
-        return rows.mapInArrow(_verify_task(p), "x long, y long")
-
-    near = checkpoint(verified(star))
-    label = components(near)
-    labelled = members.select("sig", "node").distinct().join(label, "node", "left").select(
-        "sig", "node", F.coalesce("root", "node").alias("label")
-    )
-    labelled = checkpoint(labelled)
-    open_ = labelled.groupBy("sig").agg(F.min("label").alias("main"), F.max("label").alias("other")).filter("main <> other")
-    rows = labelled.join(open_, "sig").select("sig", "node", "label", (F.col("label") == F.col("main")).alias("major"))
-    rows = checkpoint(rows)
-    sized = rows.groupBy("sig").agg(F.count("*").alias("all"), F.sum((~F.col("major")).cast("long")).alias("few"))
-    blocks = lambda c: F.ceil(F.col(c) / TILE).cast("int")
-    bits = payload.select("node", "size", "bits")
-    rows = rows.join(sized, "sig").join(bits, "node")
-    spread = lambda c: F.pmod(F.xxhash64("node"), blocks(c).cast("long")).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    cols = ["sig", "i", "j", "side", "node", "label", "size", "bits"]
-    left = rows.filter("not major").withColumn("i", spread("few")).withColumn("j", every("all")).withColumn("side", F.lit(0))
-    right = rows.withColumn("j", spread("all")).withColumn("i", every("few")).withColumn("side", F.lit(1))
-    more = (
-        left.select(cols).unionByName(right.select(cols)).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-        .mapInArrow(_tile_task(p), "x long, y long").distinct()
-        .join(star, ["x", "y"], "left_anti")
-    )
-    near = near.unionByName(verified(more))
+    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+        side = lambda c: payload.select(F.col("node").alias(c), *[F.col(k).alias(k + c) for k in columns])
+        both = [k + c for c in "xy" for k in columns]
+        return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", *both)
+
+    def screened(pairs: DataFrame) -> DataFrame:
+        return joined(pairs, "size", "bits").mapInArrow(_screen_task(p), "x long, y long")
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        return joined(pairs, "shingles").mapInArrow(_exact_task(p), "x long, y long")
+
+    def apart(near: DataFrame, held: DataFrame) -> DataFrame:
+        """(sig, node, label, main, all) of those tiles among `held` that still hold several components."""
+        label = components(near)
+        rows = held.select("sig", "node").join(if_small(label), "node", "left").select("sig", "node", F.coalesce("root", "node").alias("label"))
+        ends = rows.groupBy("sig").agg(F.min("label").alias("main"), F.max("label").alias("other"), F.count("*").alias("all"))
+        out = stored(rows.join(ends.filter("main <> other").drop("other"), "sig"), "apart")
+        release(spark)
+        return out
+
+    tested = star
+    near = compact(exact(compact(screened(star))))
+    rows = apart(near, members)
+    discard(members)
+    for turn in range(CENTRES):
+        # another centre for what is still apart: linear, and most of a large group falls together
+        centre = rows.groupBy("sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("c"))
+        pairs = rows.join(centre, "sig").filter("label <> c.label").select(
+            F.least("node", "c.node").alias("x"), F.greatest("node", "c.node").alias("y")
+        )
+        pairs = compact(pairs.distinct().join(tested, ["x", "y"], "left_anti"))
+        found = compact(exact(compact(screened(pairs))))
+        near, tested = near.unionByName(found), tested.unionByName(pairs)
+        poor = found.count() * 20 < pairs.count()
+        if not poor:
+            before, rows = rows, apart(near, rows)
+            discard(before)
+        else:
+            break
+    # the nearest of each node first; then, where a node had others, all that are still apart
+    more = compact(tiles(rows, payload, p, True))
+    near = near.unionByName(compact(exact(more.select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))))
+    open_ = more.filter("more is not null").select(F.col("more").alias("sig")).distinct()
+    left = apart(near, rows.join(open_, "sig", "left_semi"))
+    tested = tested.unionByName(more.select("x", "y").distinct())
+    last = compact(tiles(left, payload, p, False).select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))
+    near = near.unionByName(compact(exact(last)))
     root = components(near)
     low = root.join(first, "node").groupBy("root").agg(F.min("rep").alias("low"))
     found = root.join(low, "root").select("node", "low")
