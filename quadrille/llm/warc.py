@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship
+from .common import checkpoint, new_path, ship
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -188,11 +187,12 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write archives, read them back, assemble captures and resolve revisits."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write_archives(pages, path)
     captures = assemble(read_records(spark, path, with_payload=False))
     page = F.regexp_extract("metadata.block", "page-id: (-?[0-9]+)", 1).try_cast("long")
     flat = captures.select("capture_id", page.alias("page_id"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("source"), F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_digest").alias("digest"))
+    flat = checkpoint(flat)  # slim rows; from here the join may split a response that many revisits share
     whole = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("source"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("their_bytes"), F.col("digest").alias("their_digest"))
     return flat.join(whole, "source", "left").select(
         "page_id", F.coalesce("bytes", "their_bytes").alias("payload_bytes"), F.coalesce("digest", "their_digest").alias("payload_digest"), "record_type", "refers_to"
