@@ -144,7 +144,7 @@ def build(texts: dict[str, bytes]) -> Model:
     return Model(langs, code, np.concatenate(parts), np.array(roots, np.int64), np.log2(sizes))
 
 
-def train(labelled: DataFrame, docs_per_lang: int = 100, bytes_per_doc: int = 2000, bytes_per_lang: int = 60_000) -> Model | None:
+def train(labelled: DataFrame, docs_per_lang: int = 100, bytes_per_doc: int = 2000, bytes_per_lang: int = 24_000) -> Model | None:
     """From rows (doc_id, text, lang); null languages are left out."""
     rows = labelled.filter("lang is not null and text is not null")
     ids = sample_ids(rows, "doc_id", ["lang"], docs_per_lang).select("doc_id")
