@@ -6,13 +6,11 @@ columns of documents; the last returns tokens. run() chains them through Parquet
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import bpe, decontaminate, jaccard, langid, pii
-from quadrille.llm.common import shared_dir, table
+from quadrille.llm.common import checkpoint, if_small, new_path, table
 from quadrille.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,15 +23,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the least doc_id of each group of documents linked at five-word similarity 0.8."""
-    groups = jaccard.jaccard_components(docs, n=5, p=80)
+    groups = checkpoint(jaccard.jaccard_components(docs, n=5, p=80))
     gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(COLUMNS)
+    kept = docs.join(if_small(gone), "doc_id", "left_anti")
+    again = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    if again.isEmpty():
+        return kept.select(COLUMNS)
+    again = if_small(again)
+    single = kept.join(again, "doc_id", "left_anti")
+    return single.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+    return docs.join(if_small(leaks), "doc_id", "left_anti").select(COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +65,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+        path = new_path(spark, "stage")
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
         docs = spark.read.parquet(path)
