@@ -10,8 +10,10 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -175,6 +177,18 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 200) -> Iterator[None]:
+    """Fewer rows in an Arrow batch, for what is run inside: rows that may be large each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a stored frame that is not read again."""
     spark = df.sparkSession
@@ -185,8 +199,10 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files whose frames are gone; it waits for the collector otherwise."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # Python's references reach the JVM a little later
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def if_small(df: DataFrame) -> DataFrame:

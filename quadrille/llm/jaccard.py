@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, Block, checkpoint, compact, discard, if_small, mix, release, ship, stored, text_blocks, window_hashes, word_hashes, words
+from .common import LOWER, U, Block, checkpoint, compact, discard, if_small, mix, release, ship, small_batches, stored, text_blocks, window_hashes, word_hashes, words
 
 #: Occurrences of one key within a task's block from which its rows are spread out.
 LOCAL_HOT = 32
@@ -36,8 +36,10 @@ LOCAL_HOT = 32
 CENTRES = 5
 #: Distinct edges that one task may contract.
 EDGES_A_TASK = 500_000
-#: Rows of a block in one tile comparison.
+#: Rows of a block in one tile comparison, and 64-bit words of the folded bitmaps that travel with them; pairs
+#: that these let pass meet the whole bitmaps before their sets are fetched.
 TILE = 512
+BRIEF = 16
 #: (key, node) rows held in a task before they are pre-aggregated and sent.
 HELD_ROWS = 1 << 20
 
@@ -296,9 +298,10 @@ def _payload_task(n: int, p: int):
                         batch.column(0).slice(at, len(sets)),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([bitmap(x, p).tobytes() for x in sets], pa.binary()),
+                        pa.array([fold(bitmap(x, p), BRIEF).tobytes() for x in sets], pa.binary()),
                         pa.array([packed(x) for x in sets], pa.binary()),
                     ],
-                    names=["node", "size", "bits", "shingles"],
+                    names=["node", "size", "bits", "brief", "shingles"],
                 )
                 at += len(sets)
 
@@ -439,13 +442,21 @@ def tiles(rows: DataFrame, payload: DataFrame, p: int, nearest: bool) -> DataFra
         )
     )
     return (
-        rows.join(payload.select("node", "size", "bits"), "node").withColumn("at", F.explode(place))
+        rows.join(payload.select("node", "size", F.col("brief").alias("bits")), "node").withColumn("at", F.explode(place))
         .select("sig", F.col("at.tile").alias("tile"), F.col("at.side").alias("side"), "node", "label", "size", "bits")
         .repartition("sig", "tile").sortWithinPartitions("sig", "tile")
         .mapInArrow(_tile_task(p, nearest), "x long, y long, more long")
     )
 
 
+def memberships(text: DataFrame, n: int, p: int) -> DataFrame:
+    """(sig, node, centre) of the tiles that hold two nodes or more. A function of its own, so that nothing
+    refers to its large exchange afterwards."""
+    keys = text.select("text").mapInArrow(_keys_task(n, p), "sig long, node long, centre long")
+    dealt = keys.repartition(F.when(F.col("centre") != F.col("node"), F.col("node")).otherwise(F.col("sig")))
+    return stored(dealt.sortWithinPartitions("sig", "node").mapInArrow(_star_task, "sig long, node long, centre long"), "members")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs(doc_id, text).
 
@@ -456,12 +467,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stored(text.mapInArrow(_sets_task(n), "doc_id long, n_shingles long, node long"), "sets")
     first = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    keys = text.select("text").mapInArrow(_keys_task(n, p), "sig long, node long, centre long")
-    members = stored(
-        keys.repartition(F.when(F.col("centre") != F.col("node"), F.col("node")).otherwise(F.col("sig"))).sortWithinPartitions("sig", "node")
-        .mapInArrow(_star_task, "sig long, node long, centre long"),
-        "members",
-    )
+    members = memberships(text, n, p)
     release(spark)
     star = members.filter("node <> centre").select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y")).distinct()
     star = compact(star)
@@ -470,7 +476,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
         .join(first, "node").select(F.col("rep").alias("doc_id"), "node")
     )
     texts = text.join(if_small(active), "doc_id").select("node", "text")
-    payload = stored(texts.mapInArrow(_payload_task(n, p), "node long, size long, bits binary, shingles binary"), "payload")
+    with small_batches(spark):
+        payload = stored(texts.mapInArrow(_payload_task(n, p), "node long, size long, bits binary, brief binary, shingles binary"), "payload")
     if payload.count() > active.count():  # a document id came in several rows
         payload = stored(payload.dropDuplicates(["node"]), "payload")
 
@@ -479,11 +486,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
         both = [k + c for c in "xy" for k in columns]
         return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", *both)
 
-    def screened(pairs: DataFrame) -> DataFrame:
-        return joined(pairs, "size", "bits").mapInArrow(_screen_task(p), "x long, y long")
-
-    def exact(pairs: DataFrame) -> DataFrame:
-        return joined(pairs, "shingles").mapInArrow(_exact_task(p), "x long, y long")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that link: folded bitmaps first, then whole ones, then the sets themselves."""
+        brief = joined(pairs, "size", "brief").mapInArrow(_screen_task(p), "x long, y long")
+        kept = compact(brief)
+        with small_batches(spark):
+            kept = compact(joined(kept, "size", "bits").mapInArrow(_screen_task(p), "x long, y long"))
+            return compact(joined(kept, "shingles").mapInArrow(_exact_task(p), "x long, y long"))
 
     def apart(near: DataFrame, held: DataFrame) -> DataFrame:
         """(sig, node, label, main, all) of those tiles among `held` that still hold several components."""
@@ -495,7 +504,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
         return out
 
     tested = star
-    near = compact(exact(compact(screened(star))))
+    near = linked(star)
     rows = apart(near, members)
     discard(members)
     for turn in range(CENTRES):
@@ -505,7 +514,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
             F.least("node", "c.node").alias("x"), F.greatest("node", "c.node").alias("y")
         )
         pairs = compact(pairs.distinct().join(tested, ["x", "y"], "left_anti"))
-        found = compact(exact(compact(screened(pairs))))
+        found = linked(pairs)
         near, tested = near.unionByName(found), tested.unionByName(pairs)
         poor = found.count() * 20 < pairs.count()
         if not poor:
@@ -515,12 +524,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
             break
     # the nearest of each node first; then, where a node had others, all that are still apart
     more = compact(tiles(rows, payload, p, True))
-    near = near.unionByName(compact(exact(more.select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))))
+    near = near.unionByName(linked(more.select("x", "y").distinct().join(tested, ["x", "y"], "left_anti")))
     open_ = more.filter("more is not null").select(F.col("more").alias("sig")).distinct()
     left = apart(near, rows.join(open_, "sig", "left_semi"))
     tested = tested.unionByName(more.select("x", "y").distinct())
-    last = compact(tiles(left, payload, p, False).select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))
-    near = near.unionByName(compact(exact(last)))
+    last = tiles(left, payload, p, False).select("x", "y").distinct().join(tested, ["x", "y"], "left_anti")
+    near = near.unionByName(linked(last))
     root = components(near)
     low = root.join(first, "node").groupBy("root").agg(F.min("rep").alias("low"))
     found = root.join(low, "root").select("node", "low")
