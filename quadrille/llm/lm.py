@@ -2,15 +2,15 @@
 
 Counts of words and word pairs of the whole training corpus, each text followed by one end token,
 become an automaton: the start state (no history) has an arc for every training word, and
-each of the CONTEXTS commonest words is a state with arcs for the pairs seen with the
-FOLLOWERS commonest words, absolutely discounted. What a state has no arc for takes its
-failure arc, weighted so that each state's probabilities sum to one, to the start state. One
-pass from left to right carries the state and adds log10 weights.
+each word is a state with arcs for all pairs seen with it, absolutely discounted. What a state
+has no arc for takes its failure arc, weighted so that each state's probabilities sum to one, to
+the start state. One pass from left to right carries the state and adds log10 weights.
 
-Word weights of the HEAD commonest words and all arcs out of contexts have a size bounded by
-these parameters and are broadcast. Other words are looked up by a shuffle join of their
-(document, word) counts with the corpus counts, so no word is dropped and nothing grows on
-a single machine. Words are keyed by 64-bit hashes and counted in each task before the shuffle.
+Weights of the HEAD commonest words and the arcs of the CONTEXTS commonest words to the FOLLOWERS
+commonest have a size bounded by these parameters and are broadcast. Other words and other pairs
+are looked up by shuffle joins of each document's with the corpus counts, the pairs in SLICES
+parts one after another to save disk, so no word or pair is dropped and nothing grows on
+a single machine. Words are keyed by 64-bit hashes; both are counted in each task before the shuffle.
 
 Defined results: null, empty and blank texts are the end token alone; words never seen have the
 start state's weight for count zero; with an empty training set all words are such; repeated
@@ -20,23 +20,27 @@ rows get equal scores; empty tables give an empty result; extra columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, Block, checkpoint, ship, text_blocks, word_hashes, words
+from .common import LOWER, U, Block, checkpoint, mix, new_path, release, ship, stored, text_blocks, word_hashes, words
 
 HEAD = 1 << 19
 CONTEXTS = 1024
 FOLLOWERS = 4096
+#: Parts of the pairs that are joined one after another; a power of two.
+SLICES = 4
 DISCOUNT = 0.75
 #: The end token's key; words' hashes are 64-bit values other than this with near certainty.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 #: Distinct keys held in a task before they are sent.
 HELD = 1 << 21
+PAIRS_HELD = 1 << 19
 
 
 def sequence(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -101,14 +105,15 @@ class Index:
 
 @dataclass
 class Automaton:
-    """Bounded part of the model, ready to traverse."""
+    """Bounded part of the model, ready to traverse, and where the pairs are that it leaves out."""
 
     keys: np.ndarray  # head words, commonest first
     counts: np.ndarray
     tokens: int  # N
     types: int  # V
     arcs: np.ndarray  # (contexts, followers) log10 weight, nan where there is no arc
-    failure: np.ndarray  # log10 weight of each context's failure arc
+    fall: np.ndarray  # log10 weight of each head word's failure arc, from all pairs
+    pairs: DataFrame | None = None  # (pair, c, w, n) of all pairs; not sent to tasks
 
     def __post_init__(self) -> None:
         self.index = Index(self.keys)
@@ -116,50 +121,97 @@ class Automaton:
     def start_weight(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1.0) / (max(self.tokens, 0) + 1.0 * (self.types + 1)))
 
+    @property
+    def failure(self) -> np.ndarray:
+        """log10 of what each context leaves, in the block alone, to words without an arc there; equals
+        `fall` where the block holds all its arcs."""
+        own = 10 ** self.start_weight(self.counts[: self.arcs.shape[1]].astype(float))
+        has = ~np.isnan(self.arcs)
+        taken = np.where(has, 10 ** np.nan_to_num(self.arcs.astype(float)), 0).sum(axis=1)
+        return np.log10((1 - taken) / (1 - (has * own).sum(axis=1)))
+
     def traverse(self, key: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-        """Per text: tokens, head tokens, base weight and score of what is in the head, and the
-        (row, key) of the tokens that are not, whose start weights are still to be added to both."""
+        """Per text: tokens, head tokens, base weight and score of what is in the head; the (row, key) of
+        the tokens that are not, whose start and failure weights are still to be added; and the (row, pair)
+        of the pairs outside the block, whose arcs are still to be added if seen."""
         head = self.index.find(key)
         inside = head >= 0
         own = np.zeros(len(key))
         own[inside] = self.start_weight(self.counts[head[inside]].astype(float))
-        context = np.full(len(key), -1, np.int64)
-        context[1:] = np.where((rows[1:] == rows[:-1]) & inside[:-1] & (head[:-1] < len(self.failure)), head[:-1], -1)
         step = own.copy()
-        has = context >= 0
-        if has.any():
-            c, f = context[has], head[has].astype(np.int64)
-            arc = np.full(len(c), np.nan)
-            near = (f >= 0) & (f < self.arcs.shape[1])
-            arc[near] = self.arcs[c[near], f[near]]
-            step[has] = np.where(np.isnan(arc), self.failure[c] + own[has], arc)
+        at = np.flatnonzero(rows[1:] == rows[:-1]) + 1
+        c, w = head[at - 1].astype(np.int64), head[at].astype(np.int64)
+        step[at[c >= 0]] += self.fall[c[c >= 0]]
+        near = (c >= 0) & (c < self.arcs.shape[0]) & (w >= 0) & (w < self.arcs.shape[1])
+        arc = self.arcs[c[near], w[near]]
+        step[at[near]] = np.where(np.isnan(arc), step[at[near]], arc)
+        pair, _, _ = pair_ids(key, at[~near], c[~near], w[~near])
         total = lambda w: np.bincount(rows, w, n)
-        return np.bincount(rows, minlength=n), total(inside), total(own), total(step), rows[~inside], key[~inside]
+        return np.bincount(rows, minlength=n), total(inside), total(own), total(step), rows[~inside], key[~inside], rows[at[~near]], pair
+
+
+def pair_ids(key: np.ndarray, at: np.ndarray, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(pair, c, w) of the pairs that end at tokens `at`, c and w their words' ranks in the head or -1. Pairs of
+    head words are their ranks and need no c and w; others are a negative hash, c and w a rank or a key."""
+    pair = c << 32 | w
+    far = np.flatnonzero((c < 0) | (w < 0))
+    before, last = key[at[far] - 1], key[at[far]]
+    pair[far] = (mix(mix(before) * U(3) ^ last) | U(1 << 63)).view(np.int64)
+    first, second = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    first[far] = np.where(c[far] < 0, before.view(np.int64), c[far])
+    second[far] = np.where(w[far] < 0, last.view(np.int64), w[far])
+    return pair, first, second
+
+
+def slice_of(pair: np.ndarray) -> np.ndarray:
+    return (pair ^ (pair >> 32)) & (SLICES - 1)
 
 
 def _pair_task(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, contexts, followers = shared.value
         index = Index(keys)
-        pairs = np.zeros(contexts * (followers + 1), np.int64)
+        block_pairs = np.zeros(contexts * followers, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            pair, c, w, n = (np.concatenate(x) for x in zip(*parts))
+            pair, first, back = np.unique(pair, return_index=True, return_inverse=True)
+            return pair, c[first], w[first], np.bincount(back, n, len(pair)).astype(np.int64)
+
+        def sent(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(found[0]), 1 << 18):
+                yield pa.record_batch([pa.array(x[a : a + (1 << 18)]) for x in found], names=["pair", "c", "w", "n"])
+
         for batch in batches:
             for block in text_blocks(batch.column(0)):
                 key, rows = sequence(block)
-                at = index.find(key)
-                same = (rows[1:] == rows[:-1]) & (at[:-1] >= 0) & (at[:-1] < contexts)
-                to = at[1:][same].astype(np.int64)
-                to[(to < 0) | (to >= followers)] = followers  # any other follower
-                pairs += np.bincount(at[:-1][same].astype(np.int64) * (followers + 1) + to, minlength=len(pairs))
-        seen = np.flatnonzero(pairs)
-        for a in range(0, len(seen), 1 << 18):
-            part = seen[a : a + (1 << 18)]
-            yield pa.record_batch([pa.array(part), pa.array(pairs[part])], names=["pair", "n"])
+                head = index.find(key)
+                at = np.flatnonzero(rows[1:] == rows[:-1]) + 1
+                c, w = head[at - 1].astype(np.int64), head[at].astype(np.int64)
+                near = (c >= 0) & (c < contexts) & (w >= 0) & (w < followers)
+                block_pairs += np.bincount(c[near] * followers + w[near], minlength=len(block_pairs))
+                held.append((*pair_ids(key, at[~near], c[~near], w[~near]), np.ones(int((~near).sum()), np.int64)))
+                size += len(held[-1][0])
+                if size > PAIRS_HELD:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > PAIRS_HELD // 2:
+                        yield from sent(held[0])
+                        held, size = [], 0
+        if held:
+            yield from sent(merged(held))
+        seen = np.flatnonzero(block_pairs)
+        none = np.zeros(len(seen), np.int64)
+        yield from sent((seen // max(followers, 1) << 32 | seen % max(followers, 1), none, none, block_pairs[seen]))
 
     return run
 
 
 def train(texts: DataFrame, head: int = HEAD, contexts: int = CONTEXTS, followers: int = FOLLOWERS) -> tuple[Automaton, DataFrame]:
-    """(automaton, counts(key, n) of all words) from a DataFrame whose only column is the text."""
+    """(automaton, counts(key, n, spread) of all words, spread being the number of words seen after one that is
+    not in the head) from a DataFrame whose only column is the text."""
     spark = texts.sparkSession
     ship(spark)
     counts = checkpoint(texts.mapInArrow(_count_task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
@@ -178,29 +230,78 @@ def train(texts: DataFrame, head: int = HEAD, contexts: int = CONTEXTS, follower
     order = np.lexsort((keys.view(np.int64), -n))
     keys, n = np.ascontiguousarray(keys[order]), n[order]
     contexts, followers = min(contexts, len(keys)), min(followers, len(keys))
-    arcs, failure = np.full((contexts, max(followers, 1)), np.nan, np.float32), np.zeros(contexts)
+    shared = spark.sparkContext.broadcast((keys, contexts, followers))
+    pairs = stored(
+        texts.mapInArrow(_pair_task(shared), "pair long, c long, w long, n long").groupBy("pair", "c", "w").agg(F.sum("n").alias("n")), "pairs"
+    )
+    release(spark)
+    rank = F.shiftright("pair", 32)
+    spread = checkpoint(pairs.groupBy(F.when(F.col("pair") >= 0, rank).otherwise(F.col("c")).alias("key")).agg(F.count("*").alias("spread")))
+    of_head = spread.filter((F.col("key") >= 0) & (F.col("key") < len(keys))).toArrow()
+    after = np.zeros(len(keys))
+    after[np.asarray(of_head.column("key"))] = np.asarray(of_head.column("spread"))
+    left = np.where(after > 0, DISCOUNT * after / np.maximum(n, 1), 1.0)  # each word but the end token has a follower
+    arcs = np.full((contexts, max(followers, 1)), np.nan, np.float32)
     if contexts:
-        shared = spark.sparkContext.broadcast((keys[:followers], contexts, followers))
-        found = texts.mapInArrow(_pair_task(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-        pairs = np.zeros((contexts, followers + 1))
-        pairs.ravel()[np.asarray(found.column("pair"))] = np.asarray(found.column("n"))
-        own = (n[:followers] + 1.0) / (total.n + 1.0 * (total.v + 1))
-        out = pairs.sum(axis=1)
-        seen = pairs[:, :followers]
-        kept = np.maximum(seen - DISCOUNT, 0)
-        left = np.where(out > 0, 1 - kept.sum(axis=1) / np.maximum(out, 1), 1.0)
-        with np.errstate(divide="ignore"):
-            weight = np.log10(kept / np.maximum(out, 1)[:, None] + left[:, None] * own)
-            failure = np.log10(left)
-        arcs = np.where(seen > 0, weight, np.nan).astype(np.float32)
-    return Automaton(keys, n, int(total.n), int(total.v), arcs, failure), counts
+        hot = (F.col("pair") >= 0) & (rank < contexts) & (F.col("pair").bitwiseAND(0xFFFFFFFF) < followers)
+        found = pairs.filter(hot).select("pair", "n").toArrow()
+        pair, seen = np.asarray(found.column("pair")), np.asarray(found.column("n"))
+        c, w = pair >> 32, pair & 0xFFFFFFFF
+        own = (n[w] + 1.0) / (total.n + 1.0 * (total.v + 1))
+        arcs[c, w] = np.log10((seen - DISCOUNT) / n[c] + left[c] * own)
+    counts = checkpoint(counts.join(spread, "key", "left"))
+    return Automaton(keys, n, int(total.n), int(total.v), arcs, np.log10(left), pairs), counts
+
+
+def arc_gains(model: Automaton, counts: DataFrame) -> DataFrame:
+    """(pair, gain) of all pairs outside the block: what a seen pair's arc weighs more than the failure arc and start weight."""
+    spark = counts.sparkSession
+    scale = float(max(model.tokens, 0) + 1.0 * (model.types + 1))
+    shared = spark.sparkContext.broadcast((model.counts, np.where(model.fall < 0, 10**model.fall * model.counts, 0.0) / DISCOUNT, model.arcs.shape))
+
+    def gain(n, spread, m):
+        return F.log10(1.0 + (n - F.lit(DISCOUNT)) * F.lit(scale / DISCOUNT) / (spread * (m + 1.0)))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, spread, block = shared.value
+        for batch in batches:
+            pair, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            c, w = pair >> 32, pair & 0xFFFFFFFF
+            out = (c >= block[0]) | (w >= block[1])
+            pair, n, c, w = pair[out], n[out], c[out], w[out]
+            value = np.log10(1.0 + (n - DISCOUNT) * (scale / DISCOUNT) / (spread[c] * (count[w] + 1.0)))
+            yield pa.record_batch([pa.array(pair), pa.array(value)], names=["pair", "gain"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spread and count of those words that are in the head; for those, the key to join is the pair, which no word has."""
+        count, spread, _ = shared.value
+        for batch in batches:
+            pair, c, w, n = (np.asarray(batch.column(k)) for k in range(4))
+            size = len(count)
+            c_in, w_in = (c >= 0) & (c < size), (w >= 0) & (w < size)
+            yield pa.record_batch(
+                [
+                    pa.array(pair), pa.array(n), pa.array(np.where(c_in, pair, c)), pa.array(np.where(w_in, pair, w)),
+                    pa.array(spread[np.where(c_in, c, 0)], mask=~c_in), pa.array(count[np.where(w_in, w, 0)], mask=~w_in),
+                ],
+                names=["pair", "n", "c", "w", "spread_c", "n_w"],
+            )
+
+    pairs = model.pairs
+    far = pairs.filter("pair < 0").select("pair", "c", "w", "n").mapInArrow(ends, "pair long, n long, c long, w long, spread_c double, n_w long")
+    far = (
+        far.join(counts.select(F.col("key").alias("c"), "spread"), "c", "left").withColumn("spread_c", F.coalesce("spread_c", "spread"))
+        .join(counts.select(F.col("key").alias("w"), F.col("n").alias("m")), "w", "left").withColumn("n_w", F.coalesce("n_w", "m"))
+        .select("pair", gain(F.col("n"), F.col("spread_c"), F.col("n_w")).alias("gain"))
+    )
+    return pairs.filter("pair >= 0").select("pair", "n").mapInArrow(near, "pair long, gain double").unionByName(far)
 
 
 def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of each row of docs(doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(replace(model, pairs=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = shared.value
@@ -208,7 +309,7 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
             for block in text_blocks(batch.column(1)):
                 n = len(block)
                 key, rows = sequence(block)
-                tokens, known, base, full, far_row, far_key = use.traverse(key, rows, n)
+                tokens, known, base, full, far_row, far_key, pair_row, pair = use.traverse(key, rows, n)
                 order = np.lexsort((far_key, far_row))
                 r, k = far_row[order], far_key[order]
                 new = np.ones(len(r), bool)
@@ -217,25 +318,47 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
                 r, k = r[new], k[new]
                 offsets = np.searchsorted(r, np.arange(n + 1)).astype(np.int32)
                 far = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(k.view(np.int64)), pa.array(times)], ["key", "times"]))
+                order = np.lexsort((pair, pair_row))  # sorted numbers take less room
+                pair_row, pair = pair_row[order], pair[order]
+                dealt, lists = slice_of(pair), []
+                for s in range(SLICES):
+                    own = dealt == s
+                    lists.append(pa.ListArray.from_arrays(np.searchsorted(pair_row[own], np.arange(n + 1)).astype(np.int32), pa.array(pair[own])))
                 yield pa.record_batch(
-                    [batch.column(0).slice(block.first, n), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(full), far],
-                    names=["doc_id", "n_tokens", "n_known", "base_score", "score", "far"],
+                    [batch.column(0).slice(block.first, n), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(full), far, *lists],
+                    names=["doc_id", "n_tokens", "n_known", "base_score", "score", "far", *(f"pairs_{s}" for s in range(SLICES))],
                 )
 
+    kinds = "".join(f", pairs_{s} array<long>" for s in range(SLICES))
     near = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, n_known long, base_score double, score double, far array<struct<key:long,times:int>>"
+        run, "doc_id long, n_tokens long, n_known long, base_score double, score double, far array<struct<key:long,times:int>>" + kinds
     )
-    near = checkpoint(near.withColumn("row", F.monotonically_increasing_id()))
+    path = new_path(spark, "near")
+    near.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    near = spark.read.parquet(path)
     zero = float(model.start_weight(np.zeros(1))[0])
     scale = float(max(model.tokens, 0) + 1.0 * (model.types + 1))
     weight = F.when(F.col("n").isNull(), F.lit(zero)).otherwise(F.log10((F.col("n") + 1.0) / F.lit(scale)))
+    fall = F.when(F.col("spread") > 0, F.log10(F.lit(DISCOUNT) * F.col("spread") / F.col("n"))).otherwise(F.lit(0.0))
     tail = near.select("row", F.explode("far").alias("f")).select("row", F.col("f.key").alias("key"), F.col("f.times").alias("times"))
-    added = (
+    added = [
         tail.join(counts, "key", "left")
         .groupBy("row")
-        .agg(F.sum(F.col("times") * weight).alias("add"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"))
-    )
-    return near.drop("far").join(added, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + F.coalesce("add", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score"),
+        .agg(
+            F.sum(F.col("times") * weight).alias("add"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
+            F.sum(F.col("times") * fall).alias("arc"),
+        )
+    ]
+    gains = arc_gains(model, counts)
+    of = F.col("pair").bitwiseXOR(F.shiftright("pair", 32)).bitwiseAND(SLICES - 1)
+    for s in range(SLICES):  # one after another, and each one's exchange released: the disk holds one at a time
+        met = near.select("row", F.explode(f"pairs_{s}").alias("pair")).join(gains.filter(of == s), "pair")
+        added.append(checkpoint(met.groupBy("row").agg(F.lit(0.0).alias("add"), F.lit(0).cast("long").alias("more"), F.sum("gain").alias("arc"))))
+        del met
+        release(spark)
+    rest = reduce(DataFrame.unionByName, added).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("add", "more", "arc")))
+    add, more, arc = (F.coalesce(x, F.lit(0)) for x in ("add", "more", "arc"))
+    return near.select("row", "doc_id", "n_tokens", "n_known", "base_score", "score").join(rest, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("n_known") + more).alias("n_known"),
+        (F.col("base_score") + add).alias("base_score"), (F.col("score") + add + arc).alias("score"),
     )

@@ -254,6 +254,30 @@ def test_lm_predicts_order(spark):
     assert rows[1].base_score == pytest.approx(rows[2].base_score) and rows[1].score > rows[2].score + 3
 
 
+@pytest.mark.parametrize("bounds", [{}, {"head": 20, "contexts": 5, "followers": 10}, {"head": 3, "contexts": 2, "followers": 2}])
+def test_lm_scores_all_pairs(spark, bounds):
+    """Every seen pair has its arc and every word its failure weight, in the broadcast block or not."""
+    rnd = random.Random(3)
+    text = lambda: " ".join(f"w{int(rnd.paretovariate(0.7)) % 60}" for _ in range(rnd.randrange(40)))
+    train, held = [text() for _ in range(60)], [text() + " never seen" for _ in range(20)]
+    tokens = lambda t: [*t.split(), None]
+    counts = collections.Counter(w for t in train for w in tokens(t))
+    pairs = collections.Counter(p for t in train for p in zip(tokens(t), tokens(t)[1:]))
+    spread = collections.Counter(c for c, _ in pairs)
+    own = lambda w: (counts[w] + 1) / (sum(counts.values()) + len(counts) + 1)
+
+    def weight(c, w):
+        if not spread[c]:
+            return own(w)
+        return (max(pairs[c, w] - lm.DISCOUNT, 0) + lm.DISCOUNT * spread[c] * own(w)) / counts[c]
+
+    want = [math.log10(own(tokens(t)[0])) + sum(math.log10(weight(c, w)) for c, w in zip(tokens(t), tokens(t)[1:])) for t in train + held]
+    model, words_of = lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), **bounds)
+    docs = spark.createDataFrame(list(enumerate(train + held)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.score(docs, model, words_of).collect()}
+    assert [got[i] for i in range(len(want))] == pytest.approx(want, abs=1e-4)
+
+
 def test_lm_empty(spark, no_docs):
     model, counts = lm.train(no_docs.select("text"))
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
