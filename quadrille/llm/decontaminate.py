@@ -3,9 +3,10 @@
 Words are reduced to templates: words with a digit, names (capitalised inside a sentence) and
 units after a number become typed placeholders, the rest is lowered and freed of punctuation. Windows of W
 template words are hash-joined with those of the benchmark. Matches of a document and an item at
-one displacement form an alignment; its slots (what stood behind the placeholders) must be
-consistent: one item value always faces the same document value. An alignment that covers
-at least `coverage` of the item's windows is a leak, re-parameterised if slot values differ.
+one displacement form an alignment, and so do those at neighbouring displacements (at most the item's words
+apart, one from the next), between which words were put in or left out. Its slots (what stood behind the
+placeholders) must be consistent: some document value faces an item value wherever that stands. An alignment
+whose windows cover at least `coverage` of the item's words is a leak, re-parameterised if slot values differ.
 
 Windows with more placeholders than words are left out on both sides. Items shorter than W words
 are one window of their own length. If the benchmark's windows are few (BROADCAST_WINDOWS),
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, U, Block, checkpoint, mix, ship, text_blocks, window_hashes, word_hashes, words
@@ -90,8 +91,8 @@ def windows(key: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return at, mix(window_hashes(key, n)[at] + U(n))
 
 
-def _emit(ids: pa.Array, found: list[tuple[np.ndarray, ...]], key: np.ndarray, raw: np.ndarray, extra: bool, sizes: np.ndarray) -> pa.RecordBatch:
-    """Rows id, hash, pos, slots (and windows of the text, for items)."""
+def _emit(ids: pa.Array, found: list[tuple[np.ndarray, ...]], key: np.ndarray, raw: np.ndarray, extra: bool, start: np.ndarray) -> pa.RecordBatch:
+    """Rows id, hash, pos, slots (and the slots' positions, words of the window and of the text, for items)."""
     at = np.concatenate([f[0] for f in found])
     h = np.concatenate([f[1] for f in found])
     n = np.concatenate([np.full(len(f[0]), f[2]) for f in found])
@@ -107,8 +108,9 @@ def _emit(ids: pa.Array, found: list[tuple[np.ndarray, ...]], key: np.ndarray, r
     cols = [ids.take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(pos), slots]
     names = ["id", "hash", "pos", "slots"]
     if extra:
-        cols.append(pa.array(sizes[row]))
-        names.append("n_windows")
+        places = np.flatnonzero(is_slot)[take] - np.repeat(start[row], count)
+        cols += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places)), pa.array(n), pa.array(np.diff(start)[row])]
+        names += ["places", "length", "n_words"]
     return pa.record_batch(cols, names=names)
 
 
@@ -125,8 +127,7 @@ def _item_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = (size[row[at]] >= W) if n == W else (size[row[at]] == n)
                 at, h = at[own], h[own]
                 found.append((at, h, n, row[at], at - start[row[at]]))
-            total = np.bincount(np.concatenate([f[3] for f in found]), minlength=len(block))
-            yield _emit(ids, found, key, raw, True, total)
+            yield _emit(ids, found, key, raw, True, start)
 
 
 def _doc_task(shared):
@@ -146,7 +147,7 @@ def _doc_task(shared):
                         at, h = at[hit], h[hit]
                     found.append((at, h, n, row[at], at - start[row[at]]))
                 if any(len(f[0]) for f in found):
-                    yield _emit(batch.column(0).slice(block.first, len(block)), found, key, raw, False, size)
+                    yield _emit(batch.column(0).slice(block.first, len(block)), found, key, raw, False, start)
 
     return run
 
@@ -157,25 +158,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
     ship(spark)
     items = checkpoint(
         benchmark.selectExpr("cast(item_id as long) item_id", "text").distinct()
-        .mapInArrow(_item_task, "id long, hash long, pos long, slots array<long>, n_windows long")
+        .mapInArrow(_item_task, "id long, hash long, pos long, slots array<long>, places array<long>, length long, n_words long")
         .withColumnsRenamed({"id": "item_id", "pos": "item_pos", "slots": "item_slots"})
     )
     few = items.count() <= BROADCAST_WINDOWS
     hashes = np.asarray(items.select("hash").distinct().toArrow().column(0)).view(np.uint64) if few else None
     shared = spark.sparkContext.broadcast((hashes, [W, *range(MIN_WORDS, W)]))
     hits = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_doc_task(shared), "id long, hash long, pos long, slots array<long>").withColumnRenamed("id", "doc_id")
-    group = ["doc_id", "item_id", "shift"]
     met = checkpoint(
         hits.join(items, "hash")
-        .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "n_windows", "slots", "item_slots")
+        .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "length", "n_words", "slots", "item_slots", "places")
         .distinct()
     )
-    cover = met.groupBy(*group).agg((F.countDistinct("item_pos") / F.max("n_windows")).alias("coverage"))
-    faced = met.select(*group, F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).select(*group, F.col("z.item_slots").alias("a"), F.col("z.slots").alias("b"))
+    # alignments: each displacement alone, and runs of displacements at most an item's words apart
+    by_shift = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    shifts = (
+        met.groupBy("doc_id", "item_id", "shift").agg(F.max("n_words").alias("n"))
+        .withColumn("apart", (F.col("shift") - F.lag("shift").over(by_shift) > F.col("n")).cast("int"))
+        .select("doc_id", "item_id", "shift", F.coalesce(F.sum("apart").over(by_shift), F.lit(0)).alias("at"))
+    )
+    met = met.withColumn("joined", F.lit(False)).withColumn("at", F.col("shift")).unionByName(
+        met.join(shifts, ["doc_id", "item_id", "shift"]).withColumn("joined", F.lit(True))
+    )
+    group = ["doc_id", "item_id", "joined", "at"]
+    cover = (
+        met.select(*group, "n_words", F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("length") - 1)).alias("word")).distinct()
+        .groupBy(*group).agg((F.count("*") / F.max("n_words")).alias("coverage"))
+    )
+    faced = met.select(*group, F.explode(F.arrays_zip("item_slots", "slots", "places")).alias("z")).select(
+        *group, F.col("z.item_slots").alias("a"), F.col("z.slots").alias("b"), F.col("z.places").alias("place")
+    ).distinct()
+    places = faced.select(*group, "a", "place").distinct().groupBy(*group, "a").agg(F.count("*").alias("all"))
     slots = (
-        faced.groupBy(*group, "a").agg(F.min("b").alias("least"), F.max("b").alias("most"))
+        faced.groupBy(*group, "a", "b").agg(F.count("*").alias("n")).groupBy(*group, "a")
+        .agg(F.max("n").alias("most"), F.coalesce(F.max(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("same"))
+        .join(places, [*group, "a"])
         .groupBy(*group)
-        .agg(F.max((F.col("least") != F.col("most")).cast("int")).alias("torn"), F.max((F.col("a") != F.col("least")).cast("int")).alias("changed"))
+        .agg(F.max((F.col("most") < F.col("all")).cast("int")).alias("torn"), F.max((F.col("same") < F.col("all")).cast("int")).alias("changed"))
     )
     return (
         cover.filter(F.col("coverage") >= coverage)

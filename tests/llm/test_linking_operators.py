@@ -169,6 +169,16 @@ def test_leaks(spark):
     assert got == {(1, 9): False, (2, 9): True, (7, 9): False}
 
 
+def test_leaks_over_displacements(spark):
+    """A word put in, and a value of more words, split a copy in alignments that are too small alone."""
+    item = "A train travels from Boston at noon and keeps a steady speed on all of its way"
+    cut = "A train travels from Boston at noon and then keeps a steady speed on all of its way"
+    docs = [(1, f"Some words first. {cut}"), (2, item.replace("Boston", "New York")), (3, "A train travels from Boston, they said, and that was all of it.")]
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {r.doc_id: r.reparameterised for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: False, 2: True}
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
