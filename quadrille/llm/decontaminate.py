@@ -8,11 +8,11 @@ apart, one from the next), between which words were put in or left out. Its slot
 placeholders) must be consistent: some document value faces an item value wherever that stands. An alignment
 whose windows cover at least `coverage` of the item's words is a leak, re-parameterised if slot values differ.
 
-Windows with more placeholders than words are left out on both sides. Items shorter than W words
-are one window of their own length. If the benchmark's windows are few (BROADCAST_WINDOWS),
+Windows with more placeholders than words are joined by their words instead, values and all. Items shorter than
+W words are one window of their own length, joined by its words and, from MIN_WORDS words on, by its template. If the benchmark's windows are few (BROADCAST_WINDOWS),
 their hashes go to every task and only hits are sent; otherwise all windows are joined.
 
-Defined results: null and empty texts match nothing, nor do items of fewer than MIN_WORDS words;
+Defined results: null and empty texts match nothing; items of fewer than MIN_WORDS words match only themselves;
 repeated rows give the same single row per (doc_id, item_id); empty tables give an empty result;
 extra columns are ignored.
 """
@@ -82,13 +82,16 @@ def template(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(number, NUMBER, key), raw, row
 
 
-def windows(key: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, hashes) of the windows of n words of one row that are at least half words."""
+def windows(key: np.ndarray, raw: np.ndarray, row: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """(first words, hashes, whether exact) of the windows of n words of one row: of templates where at least half are
+    words, of the words themselves elsewhere and for all windows of fewer than W words."""
     if len(key) < n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return []
     slots = np.concatenate(([0], np.cumsum(np.isin(key, (NUMBER, NAME, UNIT)))))
-    at = np.flatnonzero((row[n - 1 :] == row[: len(row) - n + 1]) & (2 * (slots[n:] - slots[:-n]) <= n))
-    return at, mix(window_hashes(key, n)[at] + U(n))
+    whole = row[n - 1 :] == row[: len(row) - n + 1]
+    light = (2 * (slots[n:] - slots[:-n]) <= n) & (n >= MIN_WORDS)
+    at, exact = np.flatnonzero(whole & light), np.flatnonzero(whole & ~light if n == W else whole)
+    return [(at, mix(window_hashes(key, n)[at] + U(n)), False), (exact, mix(window_hashes(raw, n)[exact] + U(n + (1 << 32))), True)]
 
 
 def _emit(ids: pa.Array, found: list[tuple[np.ndarray, ...]], key: np.ndarray, raw: np.ndarray, extra: bool, start: np.ndarray) -> pa.RecordBatch:
@@ -101,7 +104,8 @@ def _emit(ids: pa.Array, found: list[tuple[np.ndarray, ...]], key: np.ndarray, r
     is_slot = np.isin(key, (NUMBER, NAME, UNIT))
     before = np.concatenate(([0], np.cumsum(is_slot)))
     values = raw[is_slot].view(np.int64)
-    first, count = before[at], before[at + n] - before[at]
+    exact = np.concatenate([np.full(len(f[0]), f[5]) for f in found])
+    first, count = before[at], np.where(exact, 0, before[at + n] - before[at])  # an exact window needs no slots compared
     offsets = np.concatenate(([0], np.cumsum(count)))
     take = np.repeat(first - offsets[:-1], count) + np.arange(offsets[-1])
     slots = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[take]))
@@ -122,11 +126,13 @@ def _item_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.bincount(row, minlength=len(block))
             start = np.concatenate(([0], np.cumsum(size)))
             found = []
-            for n in {W, *size[(size >= MIN_WORDS) & (size < W)].tolist()}:
-                at, h = windows(key, row, n)
-                own = (size[row[at]] >= W) if n == W else (size[row[at]] == n)
-                at, h = at[own], h[own]
-                found.append((at, h, n, row[at], at - start[row[at]]))
+            for n in {W, *size[(size > 0) & (size < W)].tolist()}:
+                for at, h, exact in windows(key, raw, row, n):
+                    own = (size[row[at]] >= W) if n == W else (size[row[at]] == n)
+                    at, h = at[own], h[own]
+                    found.append((at, h, n, row[at], at - start[row[at]], exact))
+            if not found:
+                continue
             yield _emit(ids, found, key, raw, True, start)
 
 
@@ -141,11 +147,11 @@ def _doc_task(shared):
                 start = np.concatenate(([0], np.cumsum(size)))
                 found = []
                 for n in lengths:
-                    at, h = windows(key, row, n)
-                    if index is not None:
-                        hit = index.find(h) >= 0
-                        at, h = at[hit], h[hit]
-                    found.append((at, h, n, row[at], at - start[row[at]]))
+                    for at, h, exact in windows(key, raw, row, n):
+                        if index is not None:
+                            hit = index.find(h) >= 0
+                            at, h = at[hit], h[hit]
+                        found.append((at, h, n, row[at], at - start[row[at]], exact))
                 if any(len(f[0]) for f in found):
                     yield _emit(batch.column(0).slice(block.first, len(block)), found, key, raw, False, start)
 
@@ -163,7 +169,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
     )
     few = items.count() <= BROADCAST_WINDOWS
     hashes = np.asarray(items.select("hash").distinct().toArrow().column(0)).view(np.uint64) if few else None
-    shared = spark.sparkContext.broadcast((hashes, [W, *range(MIN_WORDS, W)]))
+    lengths = [r.length for r in items.select("length").distinct().collect()]
+    shared = spark.sparkContext.broadcast((hashes, lengths))
     hits = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_doc_task(shared), "id long, hash long, pos long, slots array<long>").withColumnRenamed("id", "doc_id")
     met = checkpoint(
         hits.join(items, "hash")

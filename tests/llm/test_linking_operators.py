@@ -179,6 +179,15 @@ def test_leaks_over_displacements(spark):
     assert got == {1: False, 2: True}
 
 
+def test_leaks_of_numbers_and_short_items(spark):
+    """Items that are mostly values, or of few words, are found where they stand verbatim."""
+    items = [(1, "Compute 12 + 7 * 3 - 4"), (2, "Add 1 2 3 4 5 6 7 8 9 10 11 now"), (3, "Define entropy"), (4, "")]
+    docs = [(i, f"Some words first. {t} And more of them.") for i, t in items[:3]] + [(9, "compute 13 + 7 * 3 - 4 and add 2 3 1 5 4 7 6 9 8 11 10 now; define it")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
