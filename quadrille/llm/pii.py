@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ from .common import sample_ids, ship
 KINDS = ["email", "ip", "card", "phone"]
 SURE = 0.95
 ROUNDS = 8
+#: Characters of the texts whose graphs are worked on together; a longer text is worked on alone.
+TOGETHER = 1 << 21
 
 # The base patterns. Repeats are possessive where that cannot change a match.
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,7 +42,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*?[0-9@][^\x20\x09-\x0D]*")
+# words with a digit or @; tried at the start of each word only, without going back
+_CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 _EDGE = "\"'()[]{}<>,;:!?*#$%&|"
 
 
@@ -146,9 +150,9 @@ def graph(texts: list[str | None]) -> Graph:
             skip += [(t, base + j) for t in to]
             for k in keys:
                 last[k] = base + j
-    x = np.zeros((len(spans), N_FEATURES))
+    x = np.zeros((len(spans), N_FEATURES), bool)
     for i, f in enumerate(feats):
-        x[i, f] = 1
+        x[i, f] = True
     edges = lambda e: np.array(e, np.int64).reshape(-1, 2)
     return Graph(owner, spans, x, edges(chain), edges(skip))
 
@@ -156,10 +160,14 @@ def graph(texts: list[str | None]) -> Graph:
 def labels_of(g: Graph, base: list[list[list[tuple[int, int]]]]) -> np.ndarray:
     """0, or 1 + the kind of the base span that covers most of each word."""
     y = np.zeros(len(g.spans), np.int64)
+    ends = [[[e for _, e in spans] for spans in kinds] for kinds in base]
     for k, (i, (a, b)) in enumerate(zip(g.text, g.spans, strict=True)):
         best = 0
         for kind, spans in enumerate(base[i]):
-            for s, e in spans:
+            for at in range(bisect_right(ends[i][kind], a), len(spans)):
+                s, e = spans[at]
+                if s >= b:
+                    break
                 cover = min(b, e) - max(a, s)
                 if cover > best:
                     best, y[k] = cover, kind + 1
@@ -172,24 +180,32 @@ class Field:
     chain: np.ndarray  # (labels, labels), earlier by later
     skip: np.ndarray  # (labels, labels), symmetric
 
+    def unaries(self, g: Graph) -> np.ndarray:
+        parts = [g.feats[a : a + (1 << 16)].astype(float) @ self.unary for a in range(0, len(g.feats), 1 << 16)]
+        return np.concatenate([np.zeros((0, self.unary.shape[1])), *parts])
+
     def marginals(self, g: Graph) -> np.ndarray:
-        n, k = len(g.spans), self.unary.shape[1]
-        own = g.feats @ self.unary
+        k = self.unary.shape[1]
+        own = self.unaries(g)
+        n_chain = len(g.chain)
         ends = np.concatenate((g.chain, g.skip))
         if not len(ends):
             return _softmax(own)
-        pair = np.concatenate((np.broadcast_to(self.chain, (len(g.chain), k, k)), np.broadcast_to(self.skip, (len(g.skip), k, k))))
         a, b = ends[:, 0], ends[:, 1]
         source, target = np.concatenate((a, b)), np.concatenate((b, a))
-        weight = np.concatenate((pair, pair.transpose(0, 2, 1)))
         back = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
+        # messages of the chain and of the skip edges, onwards and back
+        cuts = np.cumsum([0, n_chain, len(g.skip), n_chain, len(g.skip)])
+        weights = [np.exp(w) for w in (self.chain, self.skip, self.chain.T, self.skip.T)]
         message = np.zeros((len(source), k))
         for _ in range(ROUNDS):
             belief = own.copy()
             np.add.at(belief, target, message)
             out = belief[source] - message[back]
-            top = out.max(axis=1, keepdims=True)
-            new = np.log(np.einsum("ek,ekl->el", np.exp(out - top), np.exp(weight)))
+            out = np.exp(out - out.max(axis=1, keepdims=True))
+            for lo, hi, w in zip(cuts, cuts[1:], weights, strict=False):
+                out[lo:hi] = out[lo:hi] @ w
+            new = np.log(out)
             new -= new.max(axis=1, keepdims=True)
             message = 0.5 * message + 0.5 * new
         belief = own.copy()
@@ -240,6 +256,15 @@ def find(texts: list[str | None], field: Field | None) -> list[tuple[list, list]
     """(base spans of each kind, added (kind, start, end)) of each text."""
     base = [base_spans(t) if t else [[], [], [], []] for t in texts]
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    ends = [[[e for _, e in spans] for spans in kinds] for kinds in base]
+
+    def met(i: int, a: int, b: int) -> bool:
+        for kind, spans in enumerate(base[i]):
+            at = bisect_right(ends[i][kind], a)
+            if at < len(spans) and spans[at][0] < b:
+                return True
+        return False
+
     if field is not None:
         g = graph(texts)
         p = field.marginals(g)
@@ -249,7 +274,7 @@ def find(texts: list[str | None], field: Field | None) -> list[tuple[list, list]
             word = texts[i][a:b]
             a += len(word) - len(word.lstrip(_EDGE))
             b -= len(word) - len(word.rstrip(_EDGE + "."))
-            if a < b and not any(s < b and a < e for spans in base[i] for s, e in spans):
+            if a < b and not met(i, a, b):
                 mine = added[i]
                 if mine and mine[-1][0] == kind and texts[i][mine[-1][2] : a].strip(" ") == "":
                     mine[-1] = (kind, mine[-1][1], b)
@@ -258,6 +283,19 @@ def find(texts: list[str | None], field: Field | None) -> list[tuple[list, list]
     return list(zip(base, added, strict=True))
 
 
+def together(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most TOGETHER characters, or of one text."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and (size + n > TOGETHER or i - start >= 256):
+            yield start, i
+            start, size = i, 0
+        size += n
+    if len(texts) > start:
+        yield start, len(texts)
+
+
 def said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
@@ -297,9 +335,9 @@ def detect(docs: DataFrame, field: Field | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = batch.column(1).to_pylist()
+            everything = whole.column(1).to_pylist()
+            for start, stop in together(everything):
+                batch, texts = whole.slice(start, stop - start), everything[start:stop]
                 counts, digests, spans, clean = [], [], [], []
                 for text, (base, added) in zip(texts, find(texts, use), strict=True):
                     own = [(k, a, b) for k, s in enumerate(base) for a, b in s]
@@ -328,9 +366,9 @@ def redact(docs: DataFrame, field: Field | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = shared.value
         for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                batch = whole.slice(a, 256)
-                texts = batch.column(at).to_pylist()
+            everything = whole.column(at).to_pylist()
+            for start, stop in together(everything):
+                batch, texts = whole.slice(start, stop - start), everything[start:stop]
                 clean = [
                     redacted(t, [(k, s, e) for k, spans in enumerate(base) for s, e in spans] + added)
                     for t, (base, added) in zip(texts, find(texts, use), strict=True)

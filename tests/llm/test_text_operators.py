@@ -360,6 +360,47 @@ def test_skip_chain_agrees():
     assert pii.redacted("call +1 (555) 123-4567 now", [(3, 5, 22)]) == "call <PHONE> now"
 
 
+def test_marginals_against_enumeration():
+    """On graphs without a loop messages give the exact marginals; and edges do change them."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    k = len(pii.KINDS) + 1
+    field = pii.Field(rng.normal(0, 1, (pii.N_FEATURES, k)), rng.normal(0, 1, (k, k)), np.zeros((k, k)))
+    skip = rng.normal(0, 1, (k, k))
+    field.skip = (skip + skip.T) / 2
+    for text in ("1234 5678 9012", "ab@c.de and then, far off: ab@c.de", "77 x 12 y 12 z 88 99"):
+        g = pii.graph([text])
+        n = len(g.spans)
+        assert len(g.chain) + len(g.skip) <= n - 1
+        own, want = field.unaries(g), np.zeros((n, k))
+        for y in itertools.product(range(k), repeat=n):
+            e = sum(own[i, y[i]] for i in range(n)) + sum(field.chain[y[a], y[b]] for a, b in g.chain) + sum(field.skip[y[a], y[b]] for a, b in g.skip)
+            want[range(n), y] += np.exp(e)
+        want /= want.sum(axis=1, keepdims=True)
+        before, pii.ROUNDS = pii.ROUNDS, 60
+        got = field.marginals(g)
+        pii.ROUNDS = before
+        assert np.allclose(got, want, atol=1e-6)
+    g = pii.graph(["ab@c.de and then, far off: ab@c.de"])
+    apart = pii.Graph(g.text, g.spans, g.feats, g.chain, g.skip[:0])
+    assert len(g.skip) and not np.allclose(field.marginals(g), field.marginals(apart))
+
+
+def test_pii_long_texts():
+    """Time grows with the text: a word of two million characters, and as many addresses as fit."""
+    import time
+
+    field = pii.fit(["call +49 170 1234567 or mail me@x.org, 10.0.0.1"] * 3, steps=5)
+    start = time.time()
+    word = "a" * 2_000_000
+    many = " ".join(f"u{i}@mail{i % 7}.org 10.0.{i % 250}.7" for i in range(20_000))
+    (b1, a1), (b2, a2), (b3, _) = pii.find([word, many, "x" * 500_000 + "@y.zz"], field)
+    assert not any(b1) and not a1 and len(b2[0]) == len(b2[1]) == 20_000 and b3[0] == [(0, 500_005)]
+    assert time.time() - start < 30
+    assert list(pii.together(["a" * pii.TOGETHER, None, "b", "c" * pii.TOGETHER])) == [(0, 2), (2, 3), (3, 4)]
+
+
 def test_pii_edges(edge_docs, no_docs):
     field = pii.train(edge_docs)
     rows = pii.detect(edge_docs, field).collect()
