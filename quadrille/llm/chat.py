@@ -1,16 +1,17 @@
 """Chat formatting by quotation linking, with DataFrame functions only.
 
 Lines carry quote levels (leading `>` marks). A passage is a run of lines of one level without a blank
-line between; normalised (white space collapsed, lower case) and hashed it is looked up among
-the unquoted passages of earlier messages of its conversation. The latest earlier message that
-holds a first-level passage is its source; the message answers the source of most quoted
+line between, and each line of such a run; normalised (white space collapsed, lower case) and hashed, a passage quoted at level
+k is looked up among the passages of level k - 1 of earlier messages of its conversation (what their author
+wrote, or quoted with one mark less), and, if none has it there, among unquoted ones. The latest earlier message that
+holds it is its source; the message answers the source of most quoted
 characters, the later one of equals. Answers form trees; following parents by pointer doubling
 gives each message its tree's first turn and its depth. A conversation reads in reply order by
 (root_turn, turn): an answer stands in the thread of what it quotes, parents first.
 
-Everything is keyed by (conversation, passage) or (conversation, turn), never by a conversation
-alone, and a source is found by a running window instead of pairs, so a conversation or a passage
-of any size stays linear.
+Everything is keyed by (conversation, passage, range of turns) or (conversation, turn), never by a conversation or a
+passage alone: a source is the greatest earlier turn within its range of TURNS turns, or that of the last
+range before that has one. Passages that nobody quotes are dropped before they are exchanged. All work on a message is linear in its lines.
 
 Defined results: null text is empty and stays null; messages without a quote, or whose quotes
 match nothing, are roots at depth 0; unmatched quotes are removed all the same; repeated rows
@@ -23,8 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, if_small
 
+#: Turns in a range: at most so many rows of one passage meet in a task.
+TURNS = 4096
 _LEVEL = "^[ \\t]*(>[ \\t]*)+"
 _ATTRIBUTION = "^(On .* wrote:|Am .* schrieb .*:|Le .* a écrit ?:|El .* escribió:)[ \\t]*$"
 
@@ -43,55 +46,70 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), line)
 
 
+def _shifted(lines: Column, by: int) -> Column:
+    """The array with each element's neighbour `by` places on in its place; null beyond the ends."""
+    none = F.array_repeat(F.lit(None).cast("struct<level:int,content:string,norm:string>"), abs(by))
+    return F.concat(F.slice(lines, by + 1, F.greatest(F.size(lines) - by, F.lit(0))), none) if by > 0 else F.concat(none, F.slice(lines, 1, F.greatest(F.size(lines) + by, F.lit(0))))
+
+
 def _passages(lines: Column) -> Column:
-    """array<struct<level, norm>>: runs of lines of one level without a blank line."""
-    kind = "struct<runs:array<struct<level:int,norm:string>>,open:boolean>"
-    start = F.struct(F.array().cast("array<struct<level:int,norm:string>>").alias("runs"), F.lit(False).alias("open"))
-
-    def step(acc: Column, x: Column) -> Column:
-        runs, last = acc["runs"], F.try_element_at(acc["runs"], F.lit(-1))
-        one = lambda norm: F.array(F.struct(x["level"].alias("level"), norm.alias("norm")))
-        state = lambda runs, is_open: F.struct(runs.alias("runs"), is_open.alias("open"))
-        grown = F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), one(F.concat_ws(" ", last["norm"], x["norm"])))
-        return (
-            F.when(x["norm"] == "", state(runs, F.lit(False)))
-            .when(acc["open"] & (last["level"] == x["level"]), state(grown, F.lit(True)))
-            .otherwise(state(F.concat(runs, one(x["norm"])), F.lit(True)))
-            .cast(kind)
-        )
+    """array<struct<level, norm>>: runs of lines of one level without a blank line, and the lines of runs of several."""
 
-    return F.aggregate(lines, start.cast(kind), step)["runs"]
+    # a run becomes "level TAB line line ...", runs are parted by line feeds; normalised lines hold neither
+    def part(x: Column, before: Column) -> Column:
+        fresh = before["norm"].isNull() | (before["norm"] == "") | (before["level"] != x["level"])
+        return F.when(x["norm"] == "", "").otherwise(F.concat(F.when(fresh, F.concat(F.lit("\n"), x["level"].cast("string"), F.lit("\t"))).otherwise(F.lit(" ")), x["norm"]))
+
+    text = F.array_join(F.zip_with(lines, _shifted(lines, -1), part), "")
+    runs = F.transform(
+        F.filter(F.split(text, "\n"), lambda r: r != ""),
+        lambda r: F.struct(F.substring_index(r, "\t", 1).cast("int").alias("level"), F.substring_index(r, "\t", -1).alias("norm")),
+    )
+    single = F.transform(F.filter(lines, lambda x: x["norm"] != ""), lambda x: F.struct(x["level"].alias("level"), x["norm"].alias("norm")))
+    return F.concat(runs, single)
 
 
 def _unquoted(lines: Column) -> Column:
     """The unquoted lines, without attributions directly above a quote, joined and trimmed."""
-    own = F.filter(
-        lines,
-        lambda x, i: (x["level"] == 0)
-        & ~(F.regexp_like(x["content"], F.lit(_ATTRIBUTION)) & (F.coalesce(F.try_element_at(lines, i + 2)["level"], F.lit(0)) > 0)),
-    )
-    return F.regexp_replace(F.array_join(F.transform(own, lambda x: x["content"]), "\n"), "^[\\x09-\\x0D ]+|[\\x09-\\x0D ]+$", "")
+
+    def mine(x: Column, after: Column) -> Column:
+        title = F.regexp_like(x["content"], F.lit(_ATTRIBUTION)) & (F.coalesce(after["level"], F.lit(0)) > 0)
+        return F.when((x["level"] == 0) & ~title, x["content"])
+
+    own = F.filter(F.zip_with(lines, _shifted(lines, 1), mine), lambda x: x.isNotNull())
+    return F.regexp_replace(F.array_join(own, "\n"), "^[\x09-\x0D ]+|[\x09-\x0D ]+$", "")
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn) of messages that quote an earlier one of their conversation."""
-    runs = (
-        messages.filter("text is not null and turn is not null and conv_id is not null")
-        .select("conv_id", "turn", F.explode(_passages(_lines(F.col("text")))).alias("p"))
-        .filter(F.col("p.level") <= 1)
-        .select("conv_id", "turn", F.col("p.level").alias("level"), F.xxhash64("p.norm").alias("key"), F.length("p.norm").alias("chars"))
-        .groupBy("conv_id", "turn", "level", "key")
-        .agg(F.max("chars").alias("chars"))
-    )
-    quoted = runs.filter("level = 1")
-    asked = quoted.select("conv_id", "key").distinct()
-    original = runs.filter("level = 0").join(asked, ["conv_id", "key"], "left_semi")
+    usable = messages.filter("text is not null and turn is not null and conv_id is not null").select("conv_id", "turn", "text")
+
+    def passages(rows: DataFrame) -> DataFrame:
+        found = rows.select("conv_id", "turn", F.explode(_passages(_lines(F.col("text")))).alias("p"))
+        return found.select("conv_id", "turn", F.col("p.level").alias("level"), F.xxhash64("p.norm").alias("key"), F.length("p.norm").alias("chars"))
+
+    quoting = passages(usable.filter(F.col("text").contains(">"))).filter("level > 0")
+    quoted = checkpoint(quoting.groupBy("conv_id", "turn", "level", "key").agg(F.max("chars").alias("chars")))
+    asked = if_small(quoted.select("conv_id", "key").distinct())
+    known = passages(usable).join(asked, ["conv_id", "key"], "left_semi").select("conv_id", "turn", "level", "key").distinct()
+    # where a passage is looked for: a level below, and unquoted
+    want = quoted.withColumn("place", F.explode(F.array_distinct(F.array(F.col("level") - 1, F.lit(0)))))
+    reach = ["conv_id", "key", "place", "range"]
+    sources = known.select("conv_id", "key", F.col("level").alias("place"), F.floor(F.col("turn") / TURNS).alias("range"), F.col("turn").alias("source"))
+    want = want.withColumn("range", F.floor(F.col("turn") / TURNS))
+    # the last source of each range, and of the ranges before each range in which one is wanted
+    last = sources.groupBy(*reach).agg(F.max("source").alias("last"))
+    before = Window.partitionBy("conv_id", "key", "place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.join(want.select(*reach).distinct(), reach, "full").withColumn("before", F.max("last").over(before)).select(*reach, "before")
+    both = sources.withColumn("turn", F.col("source")).unionByName(want.select(*reach, "turn", "level", "chars"), allowMissingColumns=True)
     # all of one turn stand together: the frame ends before the current turn
-    earlier = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    source = F.max(F.when(F.col("level") == 0, F.col("turn"))).over(earlier)
-    found = original.unionByName(quoted).withColumn("source", source).filter("level = 1 and source is not null")
+    earlier = Window.partitionBy(*reach).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("near", F.max("source").over(earlier)).filter("level is not null").join(last, reach, "left")
+    found = found.withColumn("source", F.coalesce("near", "before"))
+    below = F.max(F.when(F.col("place") == F.col("level") - 1, F.col("source")))
+    found = found.groupBy("conv_id", "turn", "level", "key").agg(F.coalesce(below, F.max("source")).alias("source"), F.max("chars").alias("chars"))
     return (
-        found.groupBy("conv_id", "turn", "source").agg(F.sum("chars").alias("chars"))
+        found.filter("source is not null").groupBy("conv_id", "turn", "source").agg(F.sum("chars").alias("chars"))
         .groupBy("conv_id", "turn").agg(F.max(F.struct("chars", "source")).alias("best"))
         .select("conv_id", "turn", F.col("best.source").alias("parent_turn"))
     )

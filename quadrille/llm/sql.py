@@ -52,10 +52,11 @@ k AS (
   FROM q),
 g AS (SELECT *, sum(CASE WHEN norm = '' THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY i) AS blanks, lag(level) OVER (PARTITION BY row ORDER BY i) AS before, lag(norm) OVER (PARTITION BY row ORDER BY i) AS before_norm FROM k),
 h AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> level OR before_norm = '' THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY i) AS run FROM g),
-t AS (SELECT DISTINCT conv_id, turn, level, string_agg(norm, ' ' ORDER BY i) AS passage FROM h WHERE norm <> '' GROUP BY conv_id, turn, row, run, level),
+o AS (SELECT conv_id, turn, level, string_agg(norm, ' ' ORDER BY i) AS passage FROM h WHERE norm <> '' GROUP BY conv_id, turn, row, run, level),
+t AS (SELECT conv_id, turn, level, passage FROM o UNION SELECT conv_id, turn, level, norm FROM h WHERE norm <> ''),
 s AS (
-  SELECT a.conv_id, a.turn, a.passage, max(b.turn) AS source
-  FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.passage = b.passage AND a.level = 1 AND b.level = 0 AND b.turn < a.turn GROUP BY 1, 2, 3),
+  SELECT a.conv_id, a.turn, a.level, a.passage, coalesce(max(b.turn) FILTER (b.level = a.level - 1), max(b.turn) FILTER (b.level = 0)) AS source
+  FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.passage = b.passage AND a.level >= 1 AND b.level IN (a.level - 1, 0) AND b.turn < a.turn GROUP BY 1, 2, 3, 4),
 b AS (SELECT conv_id, turn, source, sum(length(passage)) AS chars FROM s GROUP BY 1, 2, 3),
 e AS (SELECT conv_id, turn, source AS parent_turn FROM b QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY chars DESC, source DESC) = 1),
 r AS (
