@@ -164,11 +164,11 @@ def compact(df: DataFrame) -> DataFrame:
     return df.coalesce(df.count() // ROWS_A_TASK + 1)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write once as Parquet in the shared folder and read it back, columns prunable."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

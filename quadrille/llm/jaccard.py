@@ -12,26 +12,35 @@ components compared, block by block: parity bitmaps bound the overlap from above
 a shingle in one set only), and what survives is decided by exact intersection of
 the sorted arrays.
 
+Keys travel packed: a task sorts what it holds and sends, for each range of keys (a bucket), one blob of key
+differences and positions in a list of nodes, a third of the bytes of single rows. Buckets are as many as their
+expected size asks for, so that one fits in a task at any input size.
+
+Sets are compared by 64-bit shingle hashes, and equal sets are one node by a 64-bit hash of their content.
+
 Defined results: null, empty or blank texts have no set, link with nothing and are
 their own component; texts with fewer than n words have their whole sequence as
-one shingle; repeated rows share a component; extra columns are ignored; an empty table
-gives an empty result.
+one shingle; repeated rows share a component; rows of one id with different texts are nodes of their own, each with its
+own links, and a component's id is the least id of all its rows; rows without an id link too, and a component
+that has no other rows has a null id; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, U, Block, checkpoint, compact, discard, if_small, mix, release, ship, small_batches, stored, text_blocks, window_hashes, word_hashes, words
 
 #: Occurrences of one key within a task's block from which its rows are spread out.
-LOCAL_HOT = 32
+LOCAL_HOT = 8
 #: Rounds of further centres; what they leave apart is compared in tiles.
 CENTRES = 5
 #: Distinct edges that one task may contract.
@@ -40,8 +49,11 @@ EDGES_A_TASK = 500_000
 #: that these let pass meet the whole bitmaps before their sets are fetched.
 TILE = 512
 BRIEF = 16
-#: (key, node) rows held in a task before they are pre-aggregated and sent.
+#: (key, node) rows held in a task before they are pre-aggregated and sent, and rows that a bucket should have.
 HELD_ROWS = 1 << 20
+BUCKET_ROWS = 1 << 20
+#: Bits of a key that are sent.
+KEY_BITS = 48
 
 
 def shingle_sets(block: Block, n: int) -> list[np.ndarray]:
@@ -146,18 +158,6 @@ def bitmap(shingles: np.ndarray, p: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def packed(shingles: np.ndarray) -> bytes:
-    """The leading 40 bits of sorted hashes; order and, within a pair of texts, identity are kept."""
-    return np.ascontiguousarray(shingles.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-
-
-def unpacked(data: pa.Buffer) -> np.ndarray:
-    five = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, 3:] = five
-    return out.view(np.uint64).ravel()
-
-
 def fold(x: np.ndarray, width: int) -> np.ndarray:
     while len(x) > width:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
@@ -200,24 +200,89 @@ def _sets_task(n: int):
     return run
 
 
-def _keys_task(n: int, p: int):
-    names = ["sig", "node", "centre"]
+@dataclass
+class Keys:
+    """(key, node) rows; a centre is another node of the key that links for it, and hot a node that is such a centre."""
+
+    sig: np.ndarray
+    node: np.ndarray
+    hot: np.ndarray
+    centre: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.sig)
+
+    def take(self, at: np.ndarray) -> Keys:
+        return Keys(self.sig[at], self.node[at], self.hot[at], None if self.centre is None else self.centre[at])
+
+
+def packed(rows: Keys) -> bytes:
+    """Rows in the order of their keys: differences of keys and positions of nodes, byte by byte in planes of equal weight."""
+
+    def planes(x: np.ndarray) -> bytes:
+        width = max(1, (int(x.max()).bit_length() + 7) // 8)
+        return bytes([width]) + np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+    own = rows.node if rows.centre is None else np.concatenate((rows.node, rows.centre))
+    nodes, place = np.unique(own, return_inverse=True)
+    head = np.array([len(rows), len(nodes), rows.centre is not None], np.int64).tobytes()
+    return b"".join((head, nodes.tobytes(), np.packbits(rows.hot).tobytes(), planes(np.diff(rows.sig, prepend=U(0))), planes(place)))
+
 
-    def sent(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-        key, node = np.concatenate(keys), np.concatenate(nodes)
+def unpacked(data: bytes | memoryview) -> Keys:
+    n, m, given = (int(x) for x in np.frombuffer(data, np.int64, 3))
+    at = 24
+    nodes = np.frombuffer(data, np.uint64, m, at)
+    at += 8 * m
+    hot = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
+    at += (n + 7) // 8
+
+    def planes(count: int) -> np.ndarray:
+        nonlocal at
+        width = data[at]
+        wide = np.zeros((count, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(data, np.uint8, count * width, at + 1).reshape(width, count).T
+        at += 1 + count * width
+        return wide.view(np.uint64).ravel()
+
+    sig = np.cumsum(planes(n), dtype=np.uint64)
+    node = nodes[planes(2 * n if given else n).astype(np.int64)]
+    return Keys(sig, node[:n], hot, node[n:] if given else None)
+
+
+def bucket_of(x: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Which of equal ranges of numbers of so many bits each number is in."""
+    return ((x >> U(bits - 32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def _keys_task(n: int, p: int, buckets: int):
+    def blobs(rows: Keys, of: np.ndarray, first: int) -> Iterator[tuple[int, bytes]]:
+        cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield first + int(of[a]), packed(rows.take(slice(a, b)))
+
+    def sent(keys: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, node = np.concatenate(keys) >> U(64 - KEY_BITS), np.concatenate(nodes)
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
-        if len(key):
-            keep = np.ones(len(key), bool)
-            keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node = key[keep], node[keep]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        keep = np.ones(len(key), bool)
+        keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[keep], node[keep]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         count = np.diff(np.append(starts, len(key)))
         group = np.repeat(np.arange(len(starts)), count)
         crowded = count[group] > LOCAL_HOT
-        # in a crowd all but the first are dealt out by node and have the first as centre, as it has itself
-        centre = node[starts[group]] if len(key) else node
-        return pa.record_batch([_signed(key), _signed(node), pa.array(centre.view(np.int64), mask=~crowded)], names=names)
+        # of a crowd all but the first are dealt out by node and have the first as centre, which goes where the key goes
+        centre = node[starts[group]]
+        away = crowded & (centre != node)
+        found = list(blobs(Keys(key[~away], node[~away], crowded[~away]), bucket_of(key[~away], KEY_BITS, buckets), 0)) if not away.all() else []
+        if away.any():
+            rows, of = Keys(key[away], node[away], crowded[away], centre[away]), bucket_of(node[away], 64, buckets)
+            order = np.argsort(of, kind="stable")
+            found += blobs(rows.take(order), of[order], buckets)
+        for a in range(0, len(found), 256):
+            part = found[a : a + 256]
+            yield pa.record_batch([pa.array([k for k, _ in part], pa.int64()), pa.array([d for _, d in part], pa.binary())], names=["bucket", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, keys, nodes, held = Bands(p), [], [], 0
@@ -238,72 +303,81 @@ def _keys_task(n: int, p: int):
                 nodes.append(v)
                 held += len(k)
                 if held > HELD_ROWS:
-                    yield sent(keys, nodes)
+                    yield from sent(keys, nodes)
                     keys, nodes, held = [], [], 0
         if held:
-            yield sent(keys, nodes)
+            yield from sent(keys, nodes)
 
     return run
 
 
+def stars(rows: Keys) -> tuple[Keys, Keys]:
+    """(members with their centre, of keys with several nodes or a hot one; one row a key to go on with)."""
+    order = np.lexsort((~rows.hot, rows.node, rows.sig))
+    rows = rows.take(order)
+    keep = np.ones(len(rows), bool)
+    keep[1:] = (rows.sig[1:] != rows.sig[:-1]) | (rows.node[1:] != rows.node[:-1])
+    rows = rows.take(keep)
+    starts = np.flatnonzero(np.concatenate(([True], rows.sig[1:] != rows.sig[:-1])))
+    count = np.diff(np.append(starts, len(rows)))
+    lives = (count > 1) | np.logical_or.reduceat(rows.hot, starts)
+    group = np.repeat(np.arange(len(starts)), count)
+    take = lives[group]
+    first = rows.take(starts)
+    return Keys(rows.sig[take], rows.node[take], rows.hot[take], first.node[group[take]]), Keys(first.sig, first.node, lives)
+
+
 def _star_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node: members of keys with two nodes or more, each with a centre."""
-    last_sig = last_lo = None
-    waiting = None  # the first row of the last key, while it is alone
+    """Rows sorted by bucket: members of keys with two nodes or more, each with a centre.
+
+    What is held is cut down to a row a key whenever it grows past four buckets' worth, so that a key with
+    any number of nodes is no matter; the node that stands for it may then be given twice.
+    """
+
+    def sent(rows: Keys) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(rows), 1 << 16):
+            part = [x[a : a + (1 << 16)].view(np.int64) for x in (rows.sig, rows.node, rows.centre)]
+            yield pa.record_batch([pa.array(x) for x in part], names=["sig", "node", "centre"])
+
+    def joined(parts: list[Keys]) -> Keys:
+        return Keys(*(np.concatenate([getattr(x, k) for x in parts]) for k in ("sig", "node", "hot")))
+
+    held: list[Keys] = []
+    size, last = 0, None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig, node = (np.asarray(batch.column(i)) for i in (0, 1))
-        centre = np.asarray(pc.coalesce(batch.column(2), batch.column(1)))
-        hot = np.asarray(batch.column(2).is_valid())
-        given = hot & (centre != node)
-        out = [(sig[given], node[given], centre[given])]
-        sig, node, hot = sig[~given], node[~given], hot[~given]
-        fresh = np.ones(len(sig), bool)  # equal rows of several tasks count once within a batch
-        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | hot[1:]
-        sig, node, hot = sig[fresh], node[fresh], hot[fresh]
-        if len(sig):
-            starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-            count = np.diff(np.append(starts, len(sig)))
-            lo = node[starts].copy()
-            several = np.maximum.reduceat(node, starts) != lo
-            crowd = np.logical_or.reduceat(hot, starts)
-            if sig[0] == last_sig:
-                lo[0] = last_lo
-                several[0] = bool(several[0]) or node[0] != last_lo or waiting is None
-                if waiting is not None and (several[0] or crowd[0]):
-                    out.append(tuple(np.array([x], np.int64) for x in waiting))
-                    waiting = None
-            elif last_sig is not None:
-                waiting = None
-            keep = several | crowd
-            group = np.repeat(np.arange(len(starts)), count)
-            take = keep[group]
-            out.append((sig[take], node[take], lo[group[take]]))
-            if sig[-1] != last_sig or len(starts) > 1:
-                waiting = None if keep[-1] else (sig[-1], node[starts[-1]], lo[-1])
-            last_sig, last_lo = sig[-1], lo[-1]
-        sig, node, lo = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.record_batch([pa.array(sig), pa.array(node), pa.array(lo)], names=["sig", "node", "centre"])
+        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows = unpacked(memoryview(data.as_buffer()))
+            if rows.centre is not None:
+                yield from sent(rows)
+                continue
+            if held and (bucket != last or size > 4 * BUCKET_ROWS):
+                out, rest = stars(joined(held))
+                yield from sent(out)
+                held = [rest] if bucket == last else []
+                size = len(rest) if held else 0
+                size -= min(size, 3 * BUCKET_ROWS)  # many keys are no reason to do so at each blob
+            held.append(rows)
+            size, last = size + len(rows), bucket
+    if held:
+        yield from sent(stars(joined(held))[0])
 
 
 def _payload_task(n: int, p: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for block in text_blocks(batch.column(1)):
+            for block in text_blocks(batch.column(0)):
                 sets = shingle_sets(block, n)
+                bits = [bitmap(x, p) for x in sets]
                 yield pa.record_batch(
                     [
-                        batch.column(0).slice(at, len(sets)),
+                        _signed(node_of(sets)),
                         pa.array([len(x) for x in sets], pa.int64()),
-                        pa.array([bitmap(x, p).tobytes() for x in sets], pa.binary()),
-                        pa.array([fold(bitmap(x, p), BRIEF).tobytes() for x in sets], pa.binary()),
-                        pa.array([packed(x) for x in sets], pa.binary()),
+                        pa.array([x.tobytes() for x in bits], pa.binary()),
+                        pa.array([fold(x, BRIEF).tobytes() for x in bits], pa.binary()),
+                        pa.array([x.tobytes() for x in sets], pa.binary()),
                     ],
                     names=["node", "size", "bits", "brief", "shingles"],
                 )
-                at += len(sets)
 
     return run
 
@@ -324,7 +398,7 @@ def _exact_task(p: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, ax, ay = (batch.column(i) for i in range(4))
-            mask = pa.array([links(unpacked(ax[i].as_buffer()), unpacked(ay[i].as_buffer()), p) for i in range(batch.num_rows)], pa.bool_())
+            mask = pa.array([links(np.frombuffer(ax[i].as_buffer(), np.uint64), np.frombuffer(ay[i].as_buffer(), np.uint64), p) for i in range(batch.num_rows)], pa.bool_())
             yield pa.record_batch([x.filter(mask), y.filter(mask)], names=["x", "y"])
 
     return run
@@ -379,19 +453,22 @@ def _tile_task(p: int, nearest: bool):
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All edges (a, b) of a graph that is known to be small: the root of each node, by union-find."""
-    parent: dict[int, int] = {}
+    parent: dict = {}
+    kind = pa.int64()
 
-    def find(x: int) -> int:
+    def find(x):
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
     for batch in batches:
+        kind = batch.column(0).type
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = find(x), find(y)
             parent[max(x, y)] = min(x, y)
     nodes = list(parent)
-    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+    if nodes:
+        yield pa.record_batch([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["node", "root"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -403,7 +480,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = checkpoint(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).filter("a <> b").distinct())
     if e.count() <= EDGES_A_TASK:
-        return compact(e.coalesce(1).mapInArrow(_contract, "node long, root long"))
+        kind = e.schema["a"].dataType.simpleString()
+        return compact(e.coalesce(1).mapInArrow(_contract, f"node {kind}, root {kind}"))
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -449,12 +527,38 @@ def tiles(rows: DataFrame, payload: DataFrame, p: int, nearest: bool) -> DataFra
     )
 
 
-def memberships(text: DataFrame, n: int, p: int) -> DataFrame:
+def memberships(text: DataFrame, n: int, p: int, buckets: int) -> DataFrame:
     """(sig, node, centre) of the tiles that hold two nodes or more. A function of its own, so that nothing
     refers to its large exchange afterwards."""
-    keys = text.select("text").mapInArrow(_keys_task(n, p), "sig long, node long, centre long")
-    dealt = keys.repartition(F.when(F.col("centre") != F.col("node"), F.col("node")).otherwise(F.col("sig")))
-    return stored(dealt.sortWithinPartitions("sig", "node").mapInArrow(_star_task, "sig long, node long, centre long"), "members")
+    keys = text.select("text").mapInArrow(_keys_task(n, p, buckets), "bucket long, keys binary")
+    dealt = keys.repartition("bucket").sortWithinPartitions("bucket")
+    with small_batches(text.sparkSession, 64):
+        return stored(dealt.mapInArrow(_star_task, "sig long, node long, centre long"), "members", "zstd")
+
+
+def node_sets(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, node) of each row of docs(doc_id, text), stored."""
+    ship(docs.sparkSession)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stored(text.mapInArrow(_sets_task(n), "doc_id long, n_shingles long, node long"), "sets")
+
+
+def with_node(docs: DataFrame, n: int) -> DataFrame:
+    """docs and each row's node, null for a row without a set; other columns pass through unread."""
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for block in text_blocks(batch.column(at)):
+                sets = shingle_sets(block, n)
+                found.append(np.stack([node_of(sets).view(np.int64), [len(x) for x in sets]], axis=1))
+            node = np.concatenate(found)
+            yield pa.record_batch([*batch.columns, pa.array(node[:, 0], mask=node[:, 1] == 0)], names=[*batch.schema.names, "_node"])
+
+    kept = docs.select(docs.columns)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("_node", LongType())]))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
@@ -462,12 +566,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
 
     Documents link when 100 * intersection >= p * union of their n-word shingle sets.
     """
+    sets = node_sets(docs, n)
+    first = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    root = node_components(docs, sets, n, p)
+    low = root.join(first, "node").groupBy("root").agg(F.min("rep").alias("low"))
+    found = root.join(low, "root").select("node", "low")
+    known = first.join(found, "node", "left").select("node", F.coalesce("low", "rep").alias("low"))
+    return sets.join(known, "node", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
+
+
+def node_components(docs: DataFrame, sets: DataFrame, n: int, p: int) -> DataFrame:
+    """(node, root) of the nodes that link with others; sets are the docs' node_sets()."""
     spark = docs.sparkSession
-    ship(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(text.mapInArrow(_sets_task(n), "doc_id long, n_shingles long, node long"), "sets")
     first = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    members = memberships(text, n, p)
+    total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles"), F.count("*").alias("rows")).first()
+    expected = 2 * (2.1 * (100 - p) / (100 + p) * total.shingles + 3 * total.rows)
+    members = memberships(text, n, p, int(min(expected // BUCKET_ROWS + 16, 1 << 24)))
     release(spark)
     star = members.filter("node <> centre").select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y")).distinct()
     star = compact(star)
@@ -475,11 +590,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
         star.select(F.col("x").alias("node")).union(star.select(F.col("y").alias("node"))).distinct()
         .join(first, "node").select(F.col("rep").alias("doc_id"), "node")
     )
-    texts = text.join(if_small(active), "doc_id").select("node", "text")
+    # rows of the active nodes' first ids, and those without an id; what else these rows hold is left out by its node
+    ids = active.filter("doc_id is not null").select("doc_id").distinct()
+    texts = text.join(if_small(ids), "doc_id", "left_semi").select("text")
+    if not active.filter("doc_id is null").isEmpty():
+        texts = texts.unionByName(text.filter("doc_id is null").select("text"))
     with small_batches(spark):
         payload = stored(texts.mapInArrow(_payload_task(n, p), "node long, size long, bits binary, brief binary, shingles binary"), "payload")
-    if payload.count() > active.count():  # a document id came in several rows
-        payload = stored(payload.dropDuplicates(["node"]), "payload")
+    if payload.count() > active.count():  # ids stand in several rows
+        payload = stored(payload.join(if_small(active.select("node")), "node", "left_semi").dropDuplicates(["node"]), "payload")
 
     def joined(pairs: DataFrame, *columns: str) -> DataFrame:
         side = lambda c: payload.select(F.col("node").alias(c), *[F.col(k).alias(k + c) for k in columns])
@@ -530,8 +649,4 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     tested = tested.unionByName(more.select("x", "y").distinct())
     last = tiles(left, payload, p, False).select("x", "y").distinct().join(tested, ["x", "y"], "left_anti")
     near = near.unionByName(linked(last))
-    root = components(near)
-    low = root.join(first, "node").groupBy("root").agg(F.min("rep").alias("low"))
-    found = root.join(low, "root").select("node", "low")
-    known = first.join(found, "node", "left").select("node", F.coalesce("low", "rep").alias("low"))
-    return sets.join(known, "node", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
+    return components(near)

@@ -1,32 +1,40 @@
 """WARC archives: writing captures, reading records back, and assembling transactions.
 
 Each page becomes three records that name each other through WARC-Concurrent-To: a request, a
-response (or a revisit of the response with the same payload) and a metadata record. Spark's
-own writer makes the files (records end in CRLF CRLF, which is the writer's line separator),
-so attempts of lost executors leave nothing behind, and any store that Spark writes will do.
-Reading parses whole files record by record from a streaming decompressor. Assembly
-groups records by the identifier of their response, one bounded aggregate a capture, and
-gives one nested row each; revisits then take payload facts from the response they refer to.
+response (or a revisit of the response with the same payload) and a metadata record. Which pages revisit
+is settled on slim rows, so payloads go from the scan into the files unless the digests that pages share are too many to
+broadcast. Spark's own writer makes the files (records end in CRLF CRLF, which is the writer's line separator),
+so attempts of lost executors leave nothing behind, and any store that Spark writes will do; an archive is one gzip member.
+
+Reading streams archives (gzip of one or many members) as the pieces between CRLF CRLF and puts
+records together by their stated length, so no archive is held whole. Plain archives (*.warc) are read a file at a time.
+
+Assembly: records are linked by concurrent-to in whatever direction they name each other, and each connected
+group is one capture, one nested row. Where all records name the one that names none, the group is that one's
+identifier; other archives take connected components. Revisits then take payload facts from the response they refer to.
 
 Defined results: null payload counts as empty; of equal payloads of at least `revisit_from` bytes
 the largest page_id responds, ties of repeated rows respond too; null urls are
-written as an empty target; a null page_id responds and stays null; records without a response partner form a capture with null
-parts; empty tables give an empty result; extra columns are ignored.
+written as an empty target; a null page_id responds and stays null; records without a partner form a capture
+of their own; warcinfo records are in no capture; a record without a valid length, and one that its file
+cuts short, is left out up to the next that starts with a version line; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, new_path, ship
+from .common import checkpoint, if_small, new_path, ship, stored
+from .jaccard import components
 
+#: Shared digests that may be broadcast; beyond it pages are joined with them.
+BROADCAST_DIGESTS = 500_000
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -52,17 +60,31 @@ def _record(kind: Column | str, record_id: Column, uri: Column, fields: list[tup
     return F.concat(F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines, size), F.lit(END), block)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows(page_id, digest, ...) with `copy`: 0, but different numbers for rows of one page_id and digest, the least 0."""
+    again = checkpoint(rows.groupBy("page_id").count().filter("count > 1").select(F.col("page_id").alias("their_id")))
+    if again.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    same = F.col("page_id").eqNullSafe(F.col("their_id"))
+    again = if_small(again)
+    once = rows.join(again, same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    # numbers are stored with the rows before they are read twice; no group is brought together
+    more = stored(rows.join(again, same, "left_semi").withColumn("number", F.monotonically_increasing_id()), "repeated")
+    least = more.groupBy(F.col("page_id").alias("their_id"), F.col("digest").alias("their_digest")).agg(F.min("number").alias("least"))
+    more = more.join(if_small(least), same & (F.col("digest") == F.col("their_digest"))).withColumn("copy", F.col("number") - F.col("least"))
+    return once.unionByName(more.select(once.columns))
+
+
 def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
     """Write pages(page_id, url, html) as gzipped WARC files under path."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
-    slim = rows.select("page_id", "digest", "size")
-    last = slim.filter(F.col("size") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("first_id"))
-    chosen = slim.select("page_id", "digest").distinct().join(last, "digest", "left").select("page_id", "digest", F.coalesce("first_id", "page_id").alias("first_id"))
-    chosen = chosen.withColumnsRenamed({"page_id": "their_id", "digest": "their_digest"})
-    rows = rows.join(chosen, F.col("page_id").eqNullSafe(F.col("their_id")) & (F.col("digest") == F.col("their_digest"))).drop("their_id", "their_digest")
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1
-    rows = rows.withColumn("copy", copy)
+    shared = checkpoint(
+        rows.filter(F.col("size") >= revisit_from).groupBy("digest")
+        .agg(F.min("page_id").alias("least"), F.max("page_id").alias("first_id")).filter("least < first_id").select("digest", "first_id")
+    )
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared
+    rows = numbered(rows).join(shared, "digest", "left").withColumn("first_id", F.coalesce("first_id", "page_id"))
     revisits = F.col("page_id") != F.col("first_id")
     own = _id("response", F.col("page_id"), F.col("digest"), F.col("copy"))
     source = _id("response", F.col("first_id"), F.col("digest"), F.lit(0))
@@ -93,94 +115,134 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 30_000).text(path)
 
 
-class Parser:
-    """Records of one gzipped archive, fed in pieces."""
-
-    def __init__(self, content: bytes):
-        self.content, self.at = content, 0
-        self.inflate = zlib.decompressobj(31)
-        self.buf = bytearray()
-
-    def _more(self) -> bool:
-        while self.at < len(self.content) or self.inflate.unconsumed_tail or self.inflate.unused_data:
-            if self.inflate.eof:  # the next member
-                rest = self.inflate.unused_data
-                self.at -= len(rest)
-                self.inflate = zlib.decompressobj(31)
-            data = self.inflate.unconsumed_tail
-            if not data:
-                data = self.content[self.at : self.at + (1 << 16)]
-                self.at += len(data)
-            out = self.inflate.decompress(data, 1 << 20)
-            if out:
-                self.buf += out
-                return True
-        return False
-
-    def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
-        while True:
-            while (head := self.buf.find(b"\r\n\r\n")) < 0:
-                if not self._more():
-                    return
-            lines = bytes(self.buf[:head]).decode("utf-8", "replace").split("\r\n")
-            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-            size = int(fields["content-length"])
-            need = head + 4 + size + 4
-            while len(self.buf) < need:
-                if not self._more():
-                    raise ValueError("the archive ends inside a record")
-            block = bytes(self.buf[head + 4 : head + 4 + size])
-            del self.buf[:need]
-            yield fields, block
+class Assembler:
+    """Records out of the pieces between CRLF CRLF, fed one after another."""
+
+    def __init__(self) -> None:
+        self.fields: dict[str, list[str]] | None = None
+        self.size = self.have = 0
+        self.parts: list[bytes] = []
+
+    def feed(self, piece: bytes) -> tuple[dict[str, list[str]], bytes] | None:
+        """The record that this piece completes."""
+        if self.fields is None:
+            text = piece.lstrip(b"\r\n")
+            if not text.startswith(b"WARC/"):
+                return None
+            fields: dict[str, list[str]] = {}
+            for line in text.decode("utf-8", "replace").split("\r\n")[1:]:
+                key, _, value = line.partition(":")
+                fields.setdefault(key.strip().lower(), []).append(value.strip())
+            size = fields.get("content-length", [""])[0]
+            if size.isascii() and size.isdigit():
+                self.fields, self.size, self.have, self.parts = fields, int(size), 0, []
+            return None
+        self.parts += [piece, END.encode()]
+        self.have += len(piece) + len(END)
+        need = self.size + len(END)
+        if self.have < need:
+            return None
+        fields, self.fields, found = self.fields, None, b"".join(self.parts)
+        if self.have > need:  # the block ended in line ends that were taken for the separator; the next head came with it
+            self.feed(found[need : -len(END)])
+        return fields, found[: need - len(END)]
+
+
+def pieces(content: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(content):
+        end = content.find(END.encode(), at)
+        end = len(content) if end < 0 else end
+        yield content[at:end]
+        at = end + len(END)
 
 
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-RECORD = "kind string, record_id string, partner string, refers_to string, uri string, date string, digest string, payload_bytes long, payload_digest string, block string"
+RECORD = "kind string, record_id string, partners array<string>, refers_to string, uri string, date string, digest string, payload_bytes long, payload_digest string, block binary"
+_KINDS = {"payload_bytes": pa.int64(), "partners": pa.list_(pa.string()), "block": pa.binary()}
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row a record. block: a response's payload (if asked for), the other records' blocks as text."""
+    """One row a record of the archives under path. block: a response's payload (if asked for), the other records' blocks."""
     ship(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in RECORD.split(", ")]
-        kinds = [pa.int64() if n == "payload_bytes" else pa.string() for n in names]
-
-        def sent(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-        for batch in batches:
-            for content in batch.column(0):
+    names = [c.split()[0] for c in RECORD.split(", ")]
+
+    def row(f: dict[str, list[str]], block: bytes) -> tuple:
+        kind = f.get("warc-type", [None])[0]
+        size = said = None
+        if kind == "response":
+            block = block.partition(END.encode())[2]
+            size, said = len(block), digest_of(block)
+            block = block if with_payload else None
+        first = lambda k: f.get("warc-" + k, [None])[0]
+        partners = sorted(set(f.get("warc-concurrent-to", [])))
+        return kind, first("record-id"), partners, first("refers-to"), first("target-uri"), first("date"), first("payload-digest"), size, said, block
+
+    def sent(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, _KINDS.get(n, pa.string())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
+        for r in found:
+            rows.append(r)
+            held += 200 + len(r[-1] or b"")
+            if held > 1 << 21:
+                yield batch()
                 rows, held = [], 0
-                for f, block in Parser(content.as_py()).records():
-                    kind = f.get("warc-type")
-                    size = said = None
-                    text: bytes | None = block
-                    if kind == "response":
-                        text = block.partition(b"\r\n\r\n")[2]
-                        size, said = len(text), digest_of(text)
-                        text = text if with_payload else None
-                    head = (f.get("warc-" + k) for k in ("record-id", "concurrent-to", "refers-to", "target-uri", "date", "payload-digest"))
-                    rows.append((kind, *head, size, said, None if text is None else text.decode("utf-8", "replace")))
-                    held += 200 + len(text or b"")
-                    if held > 1 << 21:
-                        yield sent(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield sent(rows)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+        if rows:
+            yield batch()
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            file, assembler = None, Assembler()
+            for batch in batches:
+                for name, piece in zip(batch.column(0), batch.column(1), strict=True):
+                    name = name.as_py()
+                    if name != file:
+                        file, assembler = name, Assembler()
+                    if record := assembler.feed(piece.as_py()):
+                        yield row(*record)
+
+        return sent(found())
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            for batch in batches:
+                for content in batch.column(0):
+                    assembler = Assembler()
+                    for piece in pieces(content.as_py()):
+                        if record := assembler.feed(piece):
+                            yield row(*record)
+
+        return sent(found())
+
+    gzipped = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path).select(F.col("_metadata.file_path"), F.col("value").cast("binary"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select("content")
+    return gzipped.mapInArrow(streamed, RECORD).unionByName(plain.mapInArrow(whole, RECORD))
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row a capture: capture_id and the nested request, response and metadata records."""
-    record = F.struct(*[c.split()[0] for c in RECORD.split(", ")])
-    part = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), record))
-    return records.groupBy(F.coalesce("partner", "record_id").alias("capture_id")).agg(
-        part("request").alias("request"), part("response", "revisit").alias("response"), part("metadata").alias("metadata")
+    """One row a capture: capture_id and the nested requests, responses (revisits and resources too), metadata
+    and other records, each in the order of their identifiers. records are read several times: store them first."""
+    records = records.filter("kind is null or kind <> 'warcinfo'")
+    named = records.select("record_id", F.explode("partners").alias("partner")).distinct()
+    middle = named.join(named.select(F.col("partner").alias("record_id")).distinct(), "record_id", "left_semi")
+    if records.filter(F.size("partners") > 1).isEmpty() and middle.isEmpty():
+        grouped = records.withColumn("capture_id", F.coalesce(F.try_element_at("partners", F.lit(1)), "record_id"))
+    else:
+        root = components(named.select(F.col("record_id").alias("x"), F.col("partner").alias("y")))
+        grouped = records.join(root, F.col("record_id") == F.col("node"), "left").withColumn("capture_id", F.coalesce("root", "record_id"))
+    record = F.struct("record_id", *[c.split()[0] for c in RECORD.split(", ") if not c.startswith("record_id")])
+    answers = ("response", "revisit", "resource")
+    part = lambda test: F.array_sort(F.collect_list(F.when(test, record)))
+    kind = F.coalesce("kind", F.lit(""))
+    return grouped.groupBy("capture_id").agg(
+        part(kind == "request").alias("requests"), part(kind.isin(*answers)).alias("responses"), part(kind == "metadata").alias("metadata"),
+        part(~kind.isin("request", "metadata", *answers)).alias("others"),
     )
 
 
@@ -189,11 +251,14 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path)
-    captures = assemble(read_records(spark, path, with_payload=False))
-    page = F.regexp_extract("metadata.block", "page-id: (-?[0-9]+)", 1).try_cast("long")
-    flat = captures.select("capture_id", page.alias("page_id"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("source"), F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_digest").alias("digest"))
+    captures = assemble(stored(read_records(spark, path, with_payload=False), "records", "zstd"))
+    response, facts = F.col("responses")[0], F.col("metadata")[0]
+    flat = captures.select(
+        F.regexp_extract(facts["block"].cast("string"), "page-id: (-?[0-9]+)", 1).try_cast("long").alias("page_id"), response["record_id"].alias("record_id"), response["kind"].alias("record_type"),
+        response["refers_to"].alias("source"), response["payload_bytes"].alias("bytes"), response["payload_digest"].alias("digest"),
+    )
     flat = checkpoint(flat)  # slim rows; from here the join may split a response that many revisits share
-    whole = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("source"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("their_bytes"), F.col("digest").alias("their_digest"))
+    whole = flat.filter("record_type = 'response'").select(F.col("record_id").alias("source"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("their_bytes"), F.col("digest").alias("their_digest"))
     return flat.join(whole, "source", "left").select(
         "page_id", F.coalesce("bytes", "their_bytes").alias("payload_bytes"), F.coalesce("digest", "their_digest").alias("payload_digest"), "record_type", "refers_to"
     )

@@ -123,24 +123,74 @@ def test_keys_find_every_link():
             keys, owner = jaccard.signatures([a, b], nodes, bands)
             assert set(keys[owner == nodes[0]].tolist()) & set(keys[owner == nodes[1]].tolist()), (p, len(a), len(b))
             assert jaccard.may_link(len(a), jaccard.bitmap(a, p), len(b), jaccard.bitmap(b, p), p)
-            assert np.array_equal(jaccard.unpacked(pa.py_buffer(jaccard.packed(a))) >> np.uint64(24), a >> np.uint64(24))
 
 
-def test_star_over_batches():
-    """Groups cut by batch ends keep their members and their centre."""
+def test_packed_keys():
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 3000):
+        sig = np.sort(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        node, hot = rng.integers(0, 50, n).astype(np.uint64) * np.uint64(1 << 58), rng.random(n) < 0.3
+        for centre in (None, node[::-1].copy()):
+            back = jaccard.unpacked(jaccard.packed(jaccard.Keys(sig, node, hot, centre)))
+            assert np.array_equal(back.sig, sig) and np.array_equal(back.node, node) and np.array_equal(back.hot, hot)
+            assert back.centre is None if centre is None else np.array_equal(back.centre, centre)
+
+
+def test_star_over_blobs(monkeypatch):
+    """Keys keep their members and their centre however they are cut in blobs, and however little is held."""
     rnd = random.Random(3)
-    rows = sorted({(rnd.randrange(12), rnd.randrange(40)) for _ in range(120)})
+    rows = sorted({(rnd.randrange(12), rnd.randrange(1, 40)) for _ in range(120)})
     want = {}
     for s, n in rows:
         want.setdefault(s, []).append(n)
-    for step in (1, 2, 5, 200):
+    for step, held in ((1, 1), (2, 3), (5, 1 << 20), (200, 1)):
+        monkeypatch.setattr(jaccard, "BUCKET_ROWS", held)
+
         def batches(step=step):
-            for a in range(0, len(rows), step):
-                part = rows[a : a + step]
-                yield pa.record_batch([pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), pa.nulls(len(part), pa.int64())], names=["sig", "node", "centre"])
+            shuffled = rnd.sample(rows, len(rows))
+            for low, high in ((0, 6), (6, 12)):
+                mine = [r for r in shuffled if low <= r[0] < high]
+                for a in range(0, len(mine), step):
+                    sig, node = np.array(sorted(mine[a : a + step]), np.uint64).T
+                    blob = jaccard.packed(jaccard.Keys(sig, node, np.zeros(len(sig), bool)))
+                    yield pa.record_batch([pa.array([low]), pa.array([blob], pa.binary())], names=["bucket", "keys"])
+
+        got = {r for b in jaccard._star_task(batches()) for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)}
+        for s, ns in want.items():
+            mine = [(n, c) for t, n, c in got if t == s]
+            assert {n for n, _ in mine} == (set(ns) if len(ns) > 1 else set())
+            if len(ns) > 1:  # all hang together with the least
+                reached = {min(ns)}
+                for _ in ns:
+                    reached |= {n for n, c in mine if c in reached} | {c for n, c in mine if n in reached}
+                assert reached == set(ns)
+
+
+def test_repeated_and_missing_ids(spark):
+    """Near copies link whatever else stands under their ids, and rows without an id link too."""
+    import corpus_pipeline as cp
 
-        got = sorted(r for b in jaccard._star_task(batches()) for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
-        assert got == sorted((s, n, min(ns)) for s, ns in want.items() if len(ns) > 1 for n in ns)
+    rnd = random.Random(4)
+    text = lambda: [f"x{rnd.randrange(10**6)}" for _ in range(150)]
+    rows, near = [], {}
+    for i in range(0, 40, 2):
+        words = text()
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words[:-1], "other"])), (i, " ".join(text())), (i + 1, " ".join(text()))]
+        near[i + 1] = i
+    bridge = text()
+    # two rows that link only over one without an id
+    middle = [*text()[:4], *bridge[4:]]
+    rows += [(100, " ".join(bridge)), (None, " ".join(middle)), (101, " ".join([*middle[:-4], *text()[:4]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.component_id) for r in jaccard.jaccard_components(df, 3, 90).collect()]
+    assert len(got) == len(rows)
+    for odd, even in near.items():
+        assert sorted(c for i, c in got if i == odd) == [even, odd]
+    assert {c for i, c in got if i is None or i >= 100} == {100}
+    docs = df.selectExpr("doc_id", "text", "'en' lang", "'a' source", "1L n_chars")
+    kept = sorted((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect())
+    lost = {t for i, t in rows if t.endswith(" other")} | {t for i, t in rows if i is None or i == 101}
+    assert kept == sorted((i, t) for i, t in rows if t not in lost)
 
 
 def test_jaccard_edges(edge_docs, no_docs):
@@ -219,24 +269,47 @@ def test_quotes(spark):
     df = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, key string")
     got = sorted(((r.conv_id, r.turn, r.text, r.parent_turn, r.root_turn, r.depth) for r in chat.conversations(df).collect()), key=str)
     assert (1, 1, "The first.", 0, 0, 1) in got and (1, 3, "Why?", 1, 0, 2) in got and (1, 4, "Ok", None, 4, 0) in got
-    assert (1, 5, None, None, 5, 0) in got and (1, 6, "", None, 6, 0) in got and (2, 1, "no", None, 1, 0) in got
+    assert (1, 5, None, None, 5, 0) in got and (1, 6, "", None, 6, 0) in got and (2, 1, "no", 0, 0, 1) in got
     assert got.count((2, 3, "yes", 2, 2, 1)) == 2 and (None, None, "", None, None, 0) in got and len(got) == len(rows)
     assert chat.conversations(df.limit(0)).count() == 0
 
 
-def test_long_reply_chain_and_sql(spark):
+def test_nested_and_partial_quotes(spark):
+    """A quote of a quote, of one line of a paragraph, and of more than was said."""
+    rows = [
+        (1, 0, "Where is the key?\nIt was on the table."), (1, 1, "> Where is the key?\nIn the drawer."), (1, 2, ">> Where is the key?\nNot there."), (1, 3, "Where is the key?"),
+        (1, 4, ">> It was on the table.\nI see."), (1, 5, "> In the drawer.\n> It was on the table.\n> and so on\nNo."), (1, 6, ">>> not there.\n>> nothing\nHm."),
+    ]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r.parent_turn for r in chat.conversations(df).collect()}
+    # 2 and 4 quote what was said in 0: by way of 1, and directly, as nobody had quoted that line
+    assert got == {0: None, 1: 0, 2: 1, 3: None, 4: 0, 5: 0, 6: 2}
+
+
+def test_long_messages(spark):
+    import time
+
+    lines = "\n".join(f"{'> ' * (i % 3)}line {i}" for i in range(100_000))
+    df = spark.createDataFrame([(1, 0, "u", lines), (1, 1, "u", "> line 99999\nyes")], "conv_id long, turn long, role string, text string")
+    start = time.time()
+    got = {r.turn: (r.parent_turn, len(r.text)) for r in chat.conversations(df).collect()}
+    assert got[1] == (0, 3) and got[0][1] > 300_000 and time.time() - start < 60
+
+
+def test_long_reply_chain_and_sql(spark, monkeypatch):
     import duckdb
     import pandas as pd
 
     from quadrille.llm.sql import CHAT_SQL
 
+    monkeypatch.setattr(chat, "TURNS", 3)
     rnd = random.Random(6)
     rows = [(c, 0, "user", f"start of {c}") for c in range(3)]
     for c in range(3):
         for t in range(1, 40):
             to = rnd.choice([t - 1, rnd.randrange(t)])
             source = next(r for r in rows if r[0] == c and r[1] == to)[3].split("\n")[-1]
-            rows.append((c, t, rnd.choice(["user", "assistant"]), rnd.choice([f"> {source}\n\nreply {t}", f">  {source.upper()}\nreply {t}", f"reply {t} alone", f"On day {t} x wrote:\n>> deep\n> {source}\nreply {t}"])))
+            rows.append((c, t, rnd.choice(["user", "assistant"]), rnd.choice([f"> {source}\n\nreply {t}", f">  {source.upper()}\nreply {t}", f"reply {t} alone", f"On day {t} x wrote:\n>> deep\n> {source}\nreply {t}", f"> > {source}\n>> more\nreply {t}\nand on"])))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     con = duckdb.connect()
     con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
@@ -276,8 +349,44 @@ def test_archives(spark, tmp_path):
     raw = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w").glob("*.gz")))
     assert raw.count(b"WARC-Type: ") == 3 * len(pages) and raw.startswith(b"WARC/1.1\r\n")
     captures = warc.assemble(warc.read_records(spark, f"file://{tmp_path}/w"))
-    assert captures.count() == len(pages) and captures.filter("request is null or response is null or metadata is null").count() == 0
-    assert captures.filter("response.payload_bytes = 300000").first().response.block == "y" * 300_000
+    assert captures.count() == len(pages) and captures.filter("size(requests) <> 1 or size(responses) <> 1 or size(metadata) <> 1 or size(others) > 0").count() == 0
+    assert captures.filter("responses[0].payload_bytes = 300000").first().responses[0].block == b"y" * 300_000
+
+
+def test_archives_without_broadcast(spark, monkeypatch):
+    from quadrille.llm import common
+
+    pages = spark.createDataFrame([(i, "u", f"same{i % 3}") for i in range(12)] + [(4, "u", "same1")] * 3, "page_id long, url string, html string")
+    want = sorted(map(tuple, warc.round_trip(pages).collect()), key=str)
+    monkeypatch.setattr(common, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", -1)
+    assert sorted(map(tuple, warc.round_trip(pages).collect()), key=str) == want and len(want) == 15
+
+
+def plain_record(kind, name, block, *partners, length=None):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *[f"WARC-Concurrent-To: <{p}>" for p in partners], f"Content-Length: {len(block) if length is None else length}"]
+    return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_assembly_in_any_direction(spark, tmp_path, monkeypatch):
+    """As crawlers write them: the response names the request, metadata the response; chains; repeated headers; many members."""
+    body = b"HTTP/1.1 200 OK\r\n\r\n\xff\xfe not text \r\n\r\n end"
+    one = [
+        plain_record("warcinfo", "info", b"software: x\r\n"), plain_record("request", "q1", b"GET /"), plain_record("response", "r1", body, "q1"), plain_record("metadata", "m1", b"a: 1", "r1"),
+        plain_record("response", "bad", b"lost", length="many"), plain_record("response", "r2", b"HTTP/1.1 200 OK\r\n\r\n", "q2", "m2"), plain_record("request", "q2", b"GET /2"),
+        plain_record("metadata", "m2", b"b: 2"), plain_record("metadata", "m3", b"b: 3", "m2"),
+    ]
+    two = [plain_record("response", "r4", body), plain_record("conversion", "c4", b"text", "r4"), plain_record("resource", "alone", b""), plain_record("request", "cut", b"GET", length=99)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in one))
+    (tmp_path / "b.warc").write_bytes(b"".join(two))
+    records = warc.read_records(spark, f"file://{tmp_path}").cache()
+    for small in (jaccard.EDGES_A_TASK, -1):
+        monkeypatch.setattr(jaccard, "EDGES_A_TASK", small)
+        rows = warc.assemble(records).collect()
+        got = {tuple(tuple(r.record_id.strip("<>") for r in c[k]) for k in ("requests", "responses", "metadata", "others")) for c in rows}
+        assert got == {(("q1",), ("r1",), ("m1",), ()), (("q2",), ("r2",), ("m2", "m3"), ()), ((), ("r4",), (), ("c4",)), ((), ("alone",), (), ())}
+        assert len(rows) == 4 and [c.responses[0].block for c in rows if c.requests and c.requests[0].record_id == "<q1>"] == [b"\xff\xfe not text \r\n\r\n end"]
+    records.unpersist()
 
 
 # all
