@@ -22,16 +22,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least doc_id of each group of documents linked at five-word similarity 0.8."""
-    groups = checkpoint(jaccard.jaccard_components(docs, n=5, p=80))
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    """Keep one row of each group of documents linked at five-word similarity 0.8: of its least doc_id, and of the
+    texts that stand under this id the one whose set has the least hash. Rows without words are in no group."""
+    n = 5
+    sets = jaccard.node_sets(docs, n)
+    root = jaccard.node_components(docs, sets, n, 80)
+    named = sets.filter("node is not null").groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
+    named = named.join(root, "node", "left").select("doc_id", "node", "rows", F.coalesce("root", "node").alias("root"))
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
+    named = named.join(best, "root").withColumn("kept", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.node") == F.col("node")))
+    # an id with one row is decided by the id alone, others (few, and those without an id) by id and text
+    ids = checkpoint(named.groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.max("kept").alias("kept")))
+    gone = ids.filter("rows = 1 and not kept and doc_id is not null").select("doc_id")
+    several = ids.filter("rows > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
     kept = docs.join(if_small(gone), "doc_id", "left_anti")
-    again = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    if again.isEmpty():
+    if several.isEmpty():
         return kept.select(COLUMNS)
-    again = if_small(again)
-    single = kept.join(again, "doc_id", "left_anti")
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(COLUMNS)
+    several, same = if_small(several), F.col("doc_id").eqNullSafe(F.col("_id"))
+    stay = named.filter("kept").join(several, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_kept"))
+    again = jaccard.with_node(kept.join(several, same, "left_semi"), n)
+    once = again.join(if_small(stay), same & (F.col("_node") == F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "_node"])
+    single = kept.join(several, same, "left_anti")
+    return single.select(COLUMNS).unionByName(once.select(COLUMNS)).unionByName(again.filter("_node is null").select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
