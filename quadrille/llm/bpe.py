@@ -19,13 +19,12 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship
 
@@ -223,8 +222,9 @@ class Utf8Machine:
 class Codec:
     """Encoder and streaming decoder of one rank file and splitting pattern."""
 
-    def __init__(self, path: str, pattern: str):
-        self.transducer = Transducer(load_ranks(path))
+    def __init__(self, ranks: str | dict[bytes, int], pattern: str):
+        """ranks: a table, or the path of its file."""
+        self.transducer = Transducer(load_ranks(ranks) if isinstance(ranks, str) else ranks)
         self.pieces = Pieces(self.transducer)
         self.split = regex.compile(pattern).findall
 
@@ -245,11 +245,16 @@ class Codec:
         yield machine.close()
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    """One per worker. States and pieces hold no cycles, so full collections are made rare."""
-    gc.set_threshold(200_000, 50, 100)
-    return Codec(path, pattern)
+def shared_codec(spark: SparkSession, path: str, pattern: str) -> Callable[[], Codec]:
+    """What makes a task's codec: ranks are read by the driver and broadcast; states and pieces live as long as the task."""
+    ship(spark)
+    ranks = spark.sparkContext.broadcast(load_ranks(path))
+
+    def make() -> Codec:
+        gc.set_threshold(200_000, 50, 100)  # states and pieces hold no cycles, so full collections are made rare
+        return Codec(ranks.value, pattern)
+
+    return make
 
 
 def _texts(column: pa.Array) -> Iterator[str | None]:
@@ -259,10 +264,10 @@ def _texts(column: pa.Array) -> Iterator[str | None]:
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of each row."""
-    ship(docs.sparkSession)
+    make = shared_codec(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(path, pattern)
+        use = make()
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -275,10 +280,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of each row of token ids; null ids give empty text."""
-    ship(encoded.sparkSession)
+    make = shared_codec(encoded.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(path, pattern)
+        use = make()
         for batch in batches:
             texts = ["".join(use.decode(ids or [])) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
@@ -289,10 +294,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode each text, decode the ids, and return counts and digests of both."""
-    ship(docs.sparkSession)
+    make = shared_codec(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(path, pattern)
+        use = make()
         for batch in batches:
             count, a, b = [], [], []
             for text in _texts(batch.column(1)):

@@ -27,6 +27,7 @@ that has no other rows has a null id; extra columns are ignored; an empty table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,10 +87,14 @@ def node_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 class Bands:
-    """Size bands for a threshold of p percent."""
+    """Size bands for a threshold of p percent. Tasks share one object, so that all cut sets alike."""
 
     def __init__(self, p: int):
         self.p, self.lo, self.hi = p, [1], [max(1, 100 // p)]
+        # spare parts in percent of k: so many that few sets, even the smallest that meet in a band, leave as many empty
+        per_k, low = 2 * (100 - p) / (100 + p), (p / 100) ** 2
+        shares = (s for s in range(5, 100) if 1.25 * (1 + s / 100) * math.exp(-low / (per_k * (1 + s / 100))) <= s / 100)
+        self.share = next(shares, 100)
 
     def upto(self, size: int) -> None:
         while self.hi[-1] < size * 100 // self.p + 1:
@@ -101,7 +106,7 @@ class Bands:
         """(number of parts, spare parts e) of each band; 0 parts where no two different sets link."""
         hi = np.array(self.hi)[band]
         k = (100 - self.p) * 2 * hi // (100 + self.p)
-        e = 2 + k // 20
+        e = 4 + k * self.share // 100
         return np.where(k > 0, k + 1 + e, 0), e
 
 
@@ -256,6 +261,8 @@ def bucket_of(x: np.ndarray, bits: int, buckets: int) -> np.ndarray:
 
 
 def _keys_task(n: int, p: int, buckets: int):
+    bands = Bands(p)
+
     def blobs(rows: Keys, of: np.ndarray, first: int) -> Iterator[tuple[int, bytes]]:
         cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -285,7 +292,7 @@ def _keys_task(n: int, p: int, buckets: int):
             yield pa.record_batch([pa.array([k for k, _ in part], pa.int64()), pa.array([d for _, d in part], pa.binary())], names=["bucket", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, keys, nodes, held = Bands(p), [], [], 0
+        keys, nodes, held = [], [], 0
         seen: set[int] = set()
         for batch in batches:
             for block in text_blocks(batch.column(0)):
@@ -581,7 +588,7 @@ def node_components(docs: DataFrame, sets: DataFrame, n: int, p: int) -> DataFra
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles"), F.count("*").alias("rows")).first()
-    expected = 2 * (2.1 * (100 - p) / (100 + p) * total.shingles + 3 * total.rows)
+    expected = 2 * (2 * (100 - p) / (100 + p) * (1 + Bands(p).share / 100) * total.shingles + 5 * total.rows)
     members = memberships(text, n, p, int(min(expected // BUCKET_ROWS + 16, 1 << 24)))
     release(spark)
     star = members.filter("node <> centre").select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y")).distinct()
@@ -601,7 +608,10 @@ def node_components(docs: DataFrame, sets: DataFrame, n: int, p: int) -> DataFra
         payload = stored(payload.join(if_small(active.select("node")), "node", "left_semi").dropDuplicates(["node"]), "payload")
 
     def joined(pairs: DataFrame, *columns: str) -> DataFrame:
-        side = lambda c: payload.select(F.col("node").alias(c), *[F.col(k).alias(k + c) for k in columns])
+        # only what the pairs need is exchanged
+        used = if_small(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct())
+        body = payload.select("node", *columns).join(used, "node", "left_semi")
+        side = lambda c: body.select(F.col("node").alias(c), *[F.col(k).alias(k + c) for k in columns])
         both = [k + c for c in "xy" for k in columns]
         return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", *both)
 
