@@ -134,13 +134,19 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(acc)
 
 
+#: Workers of these operators make many large arrays for a short time: their allocators are told to give memory back.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and set their allocators up unless the user has."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -539,7 +539,7 @@ def memberships(text: DataFrame, n: int, p: int, buckets: int) -> DataFrame:
     refers to its large exchange afterwards."""
     keys = text.select("text").mapInArrow(_keys_task(n, p, buckets), "bucket long, keys binary")
     dealt = keys.repartition("bucket").sortWithinPartitions("bucket")
-    with small_batches(text.sparkSession, 64):
+    with small_batches(text.sparkSession, 256):
         return stored(dealt.mapInArrow(_star_task, "sig long, node long, centre long"), "members", "zstd")
 
 
@@ -547,7 +547,8 @@ def node_sets(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, node) of each row of docs(doc_id, text), stored."""
     ship(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(text.mapInArrow(_sets_task(n), "doc_id long, n_shingles long, node long"), "sets")
+    with small_batches(docs.sparkSession, 1000):
+        return stored(text.mapInArrow(_sets_task(n), "doc_id long, n_shingles long, node long"), "sets")
 
 
 def with_node(docs: DataFrame, n: int) -> DataFrame:
@@ -624,11 +625,12 @@ def node_components(docs: DataFrame, sets: DataFrame, n: int, p: int) -> DataFra
             return compact(joined(kept, "shingles").mapInArrow(_exact_task(p), "x long, y long"))
 
     def apart(near: DataFrame, held: DataFrame) -> DataFrame:
-        """(sig, node, label, main, all) of those tiles among `held` that still hold several components."""
+        """(sig, node, label, main, all) of those tiles among `held` that still hold several components. The only
+        pair of a tile of two is that of a member and its centre, which has been compared."""
         label = components(near)
         rows = held.select("sig", "node").join(if_small(label), "node", "left").select("sig", "node", F.coalesce("root", "node").alias("label"))
         ends = rows.groupBy("sig").agg(F.min("label").alias("main"), F.max("label").alias("other"), F.count("*").alias("all"))
-        out = stored(rows.join(ends.filter("main <> other").drop("other"), "sig"), "apart")
+        out = stored(rows.join(ends.filter("main <> other and all > 2").drop("other"), "sig"), "apart")
         release(spark)
         return out
 
