@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import scalar
 from .functions.aggregates import REDUCERS
 from .operators.align import Loaded, align
 from .operators.asof import asof_join
@@ -126,8 +127,34 @@ def _agg_sql(name: str) -> str:
     return small if name not in ("skew", "kurtosis") else f"CASE WHEN count(y) OVER ({_BUCKET}) > 1 AND var_pop(y) OVER ({_BUCKET}) > 1e-9 THEN {small} END"
 
 
-#: name: (expression, SQL over p, decimals). In the SQL `x` is m.x, `y` is m.x / 1e5.
-CASES: dict[str, tuple[str, str, int]] = {
+def _horner_sql(coefficients, x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _ppf_sql(p: str) -> str:
+    """The same rational function in SQL."""
+    tail = lambda r: f"{_horner_sql(scalar._PPF_C, r)} / {_horner_sql((*scalar._PPF_D, 1.0), r)}"
+    low, q = scalar._PPF_LOW, f"({p} - 0.5)"
+    centre = f"{q} * {_horner_sql(scalar._PPF_A, f'({q} * {q})')} / {_horner_sql((*scalar._PPF_B, 1.0), f'({q} * {q})')}"
+    left, right = (f"sqrt(-2 * ln(least(greatest({v}, 1e-300), 1)))" for v in (p, f"1 - {p}"))
+    return f"CASE WHEN {p} <= 0 THEN '-inf'::DOUBLE WHEN {p} >= 1 THEN 'inf'::DOUBLE WHEN {p} < {low} THEN {tail(left)} WHEN {p} > {1 - low} THEN -({tail(right)}) ELSE {centre} END"
+
+
+_W = f"{E} ROWS UNBOUNDED PRECEDING"
+_WEALTH = [f"product(1 + ret) OVER ({_W}) AS wealth", f"wealth / greatest(1, max(wealth) OVER ({_W})) - 1 AS fall"]
+_PCTILE = f"(rank() OVER ({X} ORDER BY x NULLS LAST) + (count(x) OVER ({X}, x) - 1) / 2.0 - 1) / NULLIF(count(x) OVER ({X}) - 1, 0)"
+
+
+def _cov(a: str, b: str, over: str) -> str:
+    return f"(avg(({a}) * ({b})) OVER ({over}) - avg({a}) OVER ({over}) * avg({b}) OVER ({over}))"
+
+
+#: name: (expression, SQL over p, decimals). In the SQL `x` is m.x, `y` is m.x / 1e5. Of a list of SQL, all but the last are
+#: columns that come before it.
+CASES: dict[str, tuple[str, str | list[str], int]] = {
     "lag": ("lag(m.x, 2)", f"lag(x, 2) OVER ({E})", 6),
     **{f"roll_{k}": (f"roll_{k}(m.x / 100000, 3)", _full("y", 3, f"{f}(y) OVER {_rows(3)}"), 9) for k, f in (("mean", "avg"), ("sum", "sum"), ("std", "stddev_samp"), ("var", "var_samp"), ("max", "max"), ("min", "min"))},
     "roll_mean_year": ('roll_mean(m.x, "1y")', f"avg(x) OVER {_span('1 YEAR')}", 6),
@@ -220,6 +247,68 @@ CASES: dict[str, tuple[str, str, int]] = {
     "hypot": ("hypot(m.ret, m.disc)", "sqrt(ret * ret + disc * disc)", 6),
     "ann_sharpe": ("ann_sharpe(m.ret, 12)", "avg(ret) OVER (PARTITION BY entity) / NULLIF(stddev_samp(ret) OVER (PARTITION BY entity), 0) * sqrt(12)", 5),
     "to_bps": ("to_bps(m.ret)", "ret * 10000", 6),
+    "gross_margin": ("gross_margin(m.x, m.revenue - m.price)", "x / NULLIF(revenue - price, 0)", 6),
+    "net_margin": ("net_margin(m.price, m.x)", "price / NULLIF(x, 0)", 6),
+    "operating_margin": ("operating_margin(m.price, m.revenue)", "price / NULLIF(revenue, 0)", 6),
+    "current_ratio": ("current_ratio(m.stock, m.qty - 30)", "stock / NULLIF(qty - 30, 0)", 6),
+    "excess_return": ("excess_return(m.ret, m.disc / 2)", "ret - disc / 2", 8),
+    "sharpe": ("sharpe(m.ret, 5)", _full("ret", 5, f"avg(ret) OVER {_rows(5)} / NULLIF(stddev_samp(ret) OVER {_rows(5)}, 0)"), 5),
+    "roll_corr": ("roll_corr(m.revenue / 100000, m.price / 10000, 6)", _full("revenue", 6, f"{_cov('revenue / 100000', 'price / 10000', _rows(6)[1:-1])} / NULLIF(stddev_samp(revenue / 100000) OVER {_rows(6)} * stddev_samp(price / 10000) OVER {_rows(6)}, 0)"), 5),
+    "xs_mad": ("xs_mad(m.x)", [f"median(x) OVER ({X}) AS mid", f"median(abs(x - mid)) OVER ({X})"], 6),
+    "robust_zscore": ("robust_zscore(m.x)", [f"median(x) OVER ({X}) AS mid", f"median(abs(x - mid)) OVER ({X}) AS mad", "(x - mid) / NULLIF(1.4826 * mad, 0)"], 6),
+    "roll_range": ("roll_range(m.x, 4)", _full("x", 4, f"max(x) OVER {_rows(4)} - min(x) OVER {_rows(4)}"), 6),
+    "roll_cv": ("roll_cv(m.x / 100000, 4)", _full("y", 4, f"stddev_samp(y) OVER {_rows(4)} / NULLIF(avg(y) OVER {_rows(4)}, 0)"), 6),
+    "autocorr": ("autocorr(m.revenue / 100000, 1, 5)", ["revenue / 100000 AS a", f"lag(a, 1) OVER ({E}) AS b", _full("b", 5, f"{_cov('a', 'b', _rows(5)[1:-1])} / NULLIF(stddev_samp(a) OVER {_rows(5)} * stddev_samp(b) OVER {_rows(5)}, 0)")], 5),
+    "xs_cov": ("xs_cov(m.revenue / 100000, m.qty / 100)", _cov("revenue / 100000", "qty / 100", X), 6),
+    "xs_pvar": ("xs_pvar(m.x / 100000)", _cov("y", "y", X), 6),
+    "neutralize": ("neutralize(m.revenue / 100000, m.qty / 100)", f"revenue / 100000 - avg(revenue / 100000) OVER ({X}) - {_cov('revenue / 100000', 'qty / 100', X)} / NULLIF({_cov('qty / 100', 'qty / 100', X)}, 0) * (qty / 100 - avg(qty / 100) OVER ({X}))", 5),
+    "ic": ("ic(m.ret * 10, m.revenue / 100000)", _corr("(ret * 10)", "(revenue / 100000)", X), 5),
+    "diff": ("diff(m.x)", f"x - lag(x) OVER ({E})", 6),
+    "deriv": ("deriv(m.x, 3)", f"(x - lag(x, 3) OVER ({E})) / 3", 6),
+    "pct_change": ("pct_change(m.x, 2)", f"x / NULLIF(lag(x, 2) OVER ({E}), 0) - 1", 6),
+    "integral": ("integral(m.x)", _past("sum(x)"), 4),
+    "trapz": ("trapz(m.x)", [f"(x + lag(x) OVER ({E})) / 2 AS mid", f"CASE WHEN mid IS NOT NULL THEN sum(mid) OVER ({_W}) END"], 4),
+    "pi": ("m.ret * pi()", "ret * pi()", 9),
+    "tau": ("m.ret * tau()", "ret * 2 * pi()", 9),
+    "euler": ("m.ret * euler()", "ret * exp(1)", 9),
+    "square": ("square(m.ret)", "ret * ret", 10),
+    "cube": ("cube(m.ret * 10)", "power(ret * 10, 3)", 6),
+    "reciprocal": ("reciprocal(m.qty - 30)", "1 / NULLIF(qty - 30, 0)", 8),
+    "sign": ("sign(m.ret)", "sign(ret)", 0),
+    "cbrt": ("cbrt(m.ret)", "sign(ret) * abs(ret) ^ (1 / 3.0)", 8),
+    "logb": ("logb(m.qty, 3)", "ln(qty) / ln(3)", 8),
+    "log10": ("log10(m.qty)", "log10(qty)", 8),
+    "log2": ("log2(m.qty)", "log2(qty)", 8),
+    "log1p": ("log1p(m.disc)", "ln(1 + disc)", 8),
+    "expm1": ("expm1(m.ret)", "exp(ret) - 1", 8),
+    "pow10": ("pow10(m.ret)", "power(10, ret)", 8),
+    "pow": ("pow(m.qty, m.disc)", "power(qty, disc)", 8),
+    "normal_cdf": ("normal_cdf(m.ret * 20)", f"0.5 * (1 + sign(ret) * (SELECT {_ERF_SQL} FROM (SELECT abs(ret * 20) / sqrt(2) AS z, 1 / (1 + 0.3275911 * abs(ret * 20) / sqrt(2)) AS t)))", 6),
+    "sinh": ("sinh(m.ret)", "(exp(ret) - exp(-ret)) / 2", 8),
+    "cosh": ("cosh(m.ret)", "(exp(ret) + exp(-ret)) / 2", 8),
+    "tanh": ("tanh(m.ret)", "(exp(ret) - exp(-ret)) / (exp(ret) + exp(-ret))", 8),
+    "asinh": ("asinh(m.ret)", "ln(ret + sqrt(ret * ret + 1))", 8),
+    "acosh": ("acosh(m.qty)", "ln(qty + sqrt(qty * qty - 1))", 8),
+    "atanh": ("atanh(m.ret)", "0.5 * ln((1 + ret) / (1 - ret))", 8),
+    "logit": ("logit(m.disc)", "CASE WHEN disc > 0 AND disc < 1 THEN ln(greatest(disc, 1e-9) / (1 - disc)) END", 6),
+    "softplus": ("softplus(m.ret)", "ln(1 + exp(ret))", 8),
+    "deg2rad": ("deg2rad(m.qty)", "radians(qty)", 8),
+    "rad2deg": ("rad2deg(m.ret)", "degrees(ret)", 8),
+    "signed_power": ("signed_power(m.ret, 0.5)", "sign(ret) * sqrt(abs(ret))", 8),
+    "clip_lower": ("clip_lower(m.ret, 0)", "greatest(ret, 0)", 8),
+    "clip_upper": ("clip_upper(m.ret, 0)", "least(ret, 0)", 8),
+    "to_pct": ("to_pct(m.ret)", "ret * 100", 8),
+    "indicator": ("indicator(m.qty > 100)", "CASE WHEN qty > 100 THEN 1 ELSE 0 END", 0),
+    "dist2": ("dist2(m.ret, m.disc, 0.01, 0.05)", "sqrt((ret - 0.01) ^ 2 + (disc - 0.05) ^ 2)", 8),
+    "manhattan": ("manhattan(m.ret, m.disc, 0.01, 0.05)", "abs(ret - 0.01) + abs(disc - 0.05)", 8),
+    "max_drawdown": ("max_drawdown(m.ret)", [*_WEALTH, "min(fall) OVER (PARTITION BY entity)"], 8),
+    "sortino": ("sortino(m.ret, 12)", "avg(ret) OVER (PARTITION BY entity) / NULLIF(sqrt(avg(least(ret, 0) * least(ret, 0)) OVER (PARTITION BY entity)), 0) * sqrt(12)", 5),
+    "calmar": ("calmar(m.ret, 12)", [*_WEALTH, "avg(ret) OVER (PARTITION BY entity) * 12 / NULLIF(-min(fall) OVER (PARTITION BY entity), 0)"], 5),
+    "norm_ppf": ("norm_ppf(pctile(m.x))", [f"CASE WHEN x IS NOT NULL THEN {_PCTILE} END AS share", f"CASE WHEN share IS NOT NULL THEN {_ppf_sql('share')} END"], 6),
+    "divide_values": ("m.x / (m.qty - 100)", "x / NULLIF(qty - 100, 0)", 8),
+    "modulo_negative": ("(m.qty - 150) % -7", "(((qty - 150) % -7) - 7) % -7", 6),
+    "cagr_across_zero": ("cagr(m.ret, 3)", [f"lag(ret, 3) OVER ({E}) AS b", "CASE WHEN ret * b < 0 THEN -2 * least(ret, b) ELSE 0 END AS up", "CASE WHEN (ret + up) / NULLIF(b + up, 0) >= 0 THEN abs((ret + up) / NULLIF(b + up, 0)) ^ (1 / 3.0) - 1 END"], 5),
+    "increase_across_zero": ("increase(m.ret, 2)", [f"lag(ret, 2) OVER ({E}) AS b", "(ret - b) / NULLIF(b + CASE WHEN ret * b < 0 THEN -2 * least(ret, b) ELSE 0 END, 0)"], 5),
     "between": ("1 if between(m.ret, -0.01, 0.01) else 0", "CASE WHEN ret >= -0.01 AND ret <= 0.01 THEN 1 ELSE 0 END", 0),
 }
 
@@ -258,7 +347,7 @@ w AS (
 m AS (SELECT entity, time, any_value(now) AS now, sum(w) AS w, sum(w * w) AS w2, sum(w * v) / sum(w) AS mean, sum(w * v * v) / sum(w) AS square FROM w GROUP BY 1, 2)"""
 
 
-def _case_sql(sql: str, digits: int) -> str:
+def _case_sql(sql: str | list[str], digits: int) -> str:
     time = "strftime(time, '%Y-%m-%d') AS period"
     if sql == "EWM_MEAN":
         body = f"SELECT s.entity, strftime(s.time, '%Y-%m-%d') AS period, ROUND(CASE WHEN s.x IS NOT NULL THEN m.mean END, {digits}) + 0.0 AS value FROM s LEFT JOIN m USING (entity, time)"
@@ -266,7 +355,11 @@ def _case_sql(sql: str, digits: int) -> str:
     if sql == "EWM_STD":
         body = f"SELECT entity, {time}, ROUND(CASE WHEN w * w - w2 <= 1e-12 THEN 0 ELSE sqrt(greatest(square - mean * mean, 0) * w * w / (w * w - w2)) END, {digits}) + 0.0 AS value FROM m"
         return f"WITH {SUPPLIERS},{_EWM.format(x='revenue / 100000')} {body}"
-    return f"WITH {SUPPLIERS}, q AS (SELECT *, x / 100000 AS y FROM p) SELECT entity, {time}, ROUND(CAST({sql} AS DOUBLE), {digits}) + 0.0 AS value FROM q"
+    *before, sql = [sql] if isinstance(sql, str) else sql
+    steps, last = "", "q"
+    for i, column in enumerate(before):
+        steps, last = f"{steps}, q{i} AS (SELECT *, {column} FROM {last})", f"q{i}"
+    return f"WITH {SUPPLIERS}, q AS (SELECT *, x / 100000 AS y FROM p){steps} SELECT entity, {time}, ROUND(CAST({sql} AS DOUBLE), {digits}) + 0.0 AS value FROM {last}"
 
 
 # models, alignment and loading
@@ -452,12 +545,8 @@ MODELS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 }
 
 
-def norm_ppf(spark: SparkSession, sf: str) -> DataFrame:
-    return _case("norm_ppf(pctile(m.x))", 6)(spark, sf)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: f for n, (f, _) in MODELS.items()} | {f"fn_{n}": _case(e, d) for n, (e, _, d) in CASES.items()} | {"fn_norm_ppf": norm_ppf}
+    return {n: f for n, (f, _) in MODELS.items()} | {f"fn_{n}": _case(e, d) for n, (e, _, d) in CASES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -186,10 +186,15 @@ def _load(config: Config, columns: set[str], target: str | None, entities: list[
         keep = [c for c in panel.columns if c not in drop and c not in merged]
         panel = panel.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(c) for c, v in sorted(merged.items())])
     if config.periods is not None:
-        panel = panel.filter(F.year(TIME).between(*config.periods))
+        first, last = config.periods  # a range of time, which reaches a scan's statistics
+        panel = panel.filter((F.col(TIME) >= _new_year(first)) & (F.col(TIME) < _new_year(last + 1)))
     return panel
 
 
+def _new_year(year: int):
+    return F.lit(f"{year:04d}-01-01").cast("timestamp_ntz")
+
+
 def _all_global(panel: DataFrame) -> bool:
     seen = panel.agg(F.count(F.when(F.col(ENTITY) == GLOBAL, 1)).alias("g"), F.count("*").alias("n")).first()
     return seen.n > 0 and seen.g == seen.n
