@@ -134,6 +134,51 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(acc)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, in planes of equal weight, as wide as the largest needs."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(data: bytes | memoryview, at: int, count: int) -> tuple[np.ndarray, int]:
+    """(numbers, where they end) of planes at a place in data."""
+    width = data[at]
+    wide = np.zeros((count, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, count * width, at + 1).reshape(width, count).T
+    return wide.view(np.uint64).ravel(), at + 1 + count * width
+
+
+def bucket_of(x: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Which of equal ranges of numbers of so many bits each number is in."""
+    return ((x >> U(bits - 32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+class Index:
+    """Positions of keys in a sorted key array; -1 where absent. A hash table in numpy."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(len(keys), 1) * 2))))
+        order = np.argsort(keys >> U(64 - self.bits), kind="stable")
+        self.keys, self.at = keys[order], order.astype(np.int32)
+        bucket = (self.keys >> U(64 - self.bits)).astype(np.int64)
+        self.start = np.searchsorted(bucket, np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.most = int(np.diff(self.start).max()) if len(keys) else 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        bucket = (keys >> U(64 - self.bits)).astype(np.int64)
+        a, b = self.start[bucket], self.start[bucket + 1]
+        out = np.full(len(keys), -1, np.int32)
+        todo = np.flatnonzero(a < b)
+        for k in range(self.most):
+            if not len(todo):
+                break
+            spot = a[todo] + k
+            same = self.keys[spot] == keys[todo]
+            out[todo[same]] = self.at[spot[same]]
+            todo = todo[~same & (spot + 1 < b[todo])]
+        return out
+
+
 #: Workers of these operators make many large arrays for a short time: their allocators are told to give memory back.
 WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20)}
 

@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, U, Block, checkpoint, mix, ship, text_blocks, window_hashes, word_hashes, words
-from .lm import Index
+from .common import LOWER, SPACE, U, Block, Index, checkpoint, mix, ship, text_blocks, window_hashes, word_hashes, words
 
 W = 8
 MIN_WORDS = 4

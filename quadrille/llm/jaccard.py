@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, U, Block, checkpoint, compact, discard, if_small, mix, release, ship, small_batches, stored, text_blocks, window_hashes, word_hashes, words
+from .common import LOWER, U, Block, bucket_of, checkpoint, compact, discard, if_small, mix, planes, release, ship, small_batches, stored, text_blocks, unplanes, window_hashes, word_hashes, words
 
 #: Occurrences of one key within a task's block from which its rows are spread out.
 LOCAL_HOT = 8
@@ -223,11 +223,6 @@ class Keys:
 
 def packed(rows: Keys) -> bytes:
     """Rows in the order of their keys: differences of keys and positions of nodes, byte by byte in planes of equal weight."""
-
-    def planes(x: np.ndarray) -> bytes:
-        width = max(1, (int(x.max()).bit_length() + 7) // 8)
-        return bytes([width]) + np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
     own = rows.node if rows.centre is None else np.concatenate((rows.node, rows.centre))
     nodes, place = np.unique(own, return_inverse=True)
     head = np.array([len(rows), len(nodes), rows.centre is not None], np.int64).tobytes()
@@ -242,24 +237,12 @@ def unpacked(data: bytes | memoryview) -> Keys:
     hot = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
     at += (n + 7) // 8
 
-    def planes(count: int) -> np.ndarray:
-        nonlocal at
-        width = data[at]
-        wide = np.zeros((count, 8), np.uint8)
-        wide[:, :width] = np.frombuffer(data, np.uint8, count * width, at + 1).reshape(width, count).T
-        at += 1 + count * width
-        return wide.view(np.uint64).ravel()
-
-    sig = np.cumsum(planes(n), dtype=np.uint64)
-    node = nodes[planes(2 * n if given else n).astype(np.int64)]
+    steps, at = unplanes(data, at, n)
+    sig = np.cumsum(steps, dtype=np.uint64)
+    node = nodes[unplanes(data, at, 2 * n if given else n)[0].astype(np.int64)]
     return Keys(sig, node[:n], hot, node[n:] if given else None)
 
 
-def bucket_of(x: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Which of equal ranges of numbers of so many bits each number is in."""
-    return ((x >> U(bits - 32)) * U(buckets) >> U(32)).astype(np.int64)
-
-
 def _keys_task(n: int, p: int, buckets: int):
     bands = Bands(p)
 

@@ -1,46 +1,48 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Counts of words and word pairs of the whole training corpus, each text followed by one end token,
-become an automaton: the start state (no history) has an arc for every training word, and
-each word is a state with arcs for all pairs seen with it, absolutely discounted. What a state
-has no arc for takes its failure arc, weighted so that each state's probabilities sum to one, to
-the start state. One pass from left to right carries the state and adds log10 weights.
-
-Weights of the HEAD commonest words and the arcs of the CONTEXTS commonest words to the FOLLOWERS
-commonest have a size bounded by these parameters and are broadcast. Other words and other pairs
-are looked up by shuffle joins of each document's with the corpus counts, the pairs in SLICES
-parts one after another to save disk, so no word or pair is dropped and nothing grows on
-a single machine. Words are keyed by 64-bit hashes; both are counted in each task before the shuffle.
+Counts of all n-grams up to `order` of the training corpus, each text followed by one end token, are the
+automaton: a history that was seen is a state, an n-gram an arc to the state of its last words. With c(h) and c(hw) the counts
+of a history and of the same with a word, the arc weighs (c(hw) + mu p) / (c(h) + mu), and the failure arc to the history without
+its first word mu / (c(h) + mu), p being the word's probability there; so each state's
+probabilities sum to one. The start state (no history) gives (c(w) + 1) / (N + V + 1). One pass from left to right carries the
+state and adds log10 weights; it is vectorised over a batch, since a state depends on the last order - 1 words only.
+
+Nothing is cut off, and no table is held whole anywhere. n-grams are hashed to 56 bits, of which ranges are
+buckets; a task counts in sorted runs and sends for each bucket one packed blob (key differences and counts byte
+by byte). Documents are stored in batches of about BATCH bytes; a batch asks each bucket for the counts of its distinct n-grams,
+the bucket's task merges what was counted and answers in the same order, and the answers meet their batch
+again: the slice of the automaton that this batch can reach. Blobs are one row a bucket and run, so no n-gram is hot.
+Counts are a DataFrame that can be stored; the union of two (of equal order and buckets) counts both corpora.
 
 Defined results: null, empty and blank texts are the end token alone; words never seen have the
 start state's weight for count zero; with an empty training set all words are such; repeated
-rows get equal scores; empty tables give an empty result; extra columns are ignored.
+rows get equal scores; a null id stays null; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, Block, checkpoint, mix, new_path, release, ship, stored, text_blocks, word_hashes, words
+from .common import LOWER, U, Block, bucket_of, mix, planes, release, ship, small_batches, stored, text_blocks, unplanes, window_hashes, word_hashes, words
 
-HEAD = 1 << 19
-CONTEXTS = 1024
-FOLLOWERS = 4096
-#: Parts of the pairs that are joined one after another; a power of two.
-SLICES = 4
-DISCOUNT = 0.75
+#: Pseudo-count of the shorter history in each state.
+MU = 4.0
+#: Bytes of text in a batch.
+BATCH = 2 << 20
+#: n-grams counted in a task before they are sent, and bytes of training text for which there is a bucket.
+HELD = 1 << 21
+BUCKET_BYTES = 1 << 21
+KEY_BITS = 56
 #: The end token's key; words' hashes are 64-bit values other than this with near certainty.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-#: Distinct keys held in a task before they are sent.
-HELD = 1 << 21
-PAIRS_HELD = 1 << 19
+ROW = "bucket long, kind int, batch long, data binary"
 
 
 def sequence(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -54,311 +56,218 @@ def sequence(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return key, rows
 
 
-def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+def grams(key: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length n, (last tokens, keys) of the n-grams within rows; the lowest two bits of a key are n - 1."""
+    out = []
+    for n in range(1, order + 1):
+        at = np.flatnonzero(rows[n - 1 :] == rows[: len(rows) - n + 1]) + n - 1
+        h = mix(window_hashes(key, n)[at - n + 1] + U(n))
+        out.append((at, h >> U(66 - KEY_BITS) << U(2) | U(n - 1)))
+    return out
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return key, np.bincount(back, np.concatenate([c for _, c in held]), len(key)).astype(np.int64)
 
-    for batch in batches:
-        for block in text_blocks(batch.column(0)):
-            held.append(np.unique(sequence(block)[0], return_counts=True))
-            size += len(held[-1][0])
-            if size > HELD:
-                k, c = merged()
-                held, size = [(k, c)], len(k)
-                if size > HELD // 2:
-                    yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(c)], names=["key", "n"])
-                    held, size = [], 0
-    if held:
-        k, c = merged()
-        yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(c)], names=["key", "n"])
-
-
-class Index:
-    """Positions of keys in a sorted key array; -1 where absent. A hash table in numpy."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(len(keys), 1) * 2))))
-        order = np.argsort(keys >> U(64 - self.bits), kind="stable")
-        self.keys, self.at = keys[order], order.astype(np.int32)
-        bucket = (self.keys >> U(64 - self.bits)).astype(np.int64)
-        self.start = np.searchsorted(bucket, np.arange((1 << self.bits) + 1)).astype(np.int32)
-        self.most = int(np.diff(self.start).max()) if len(keys) else 0
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        bucket = (keys >> U(64 - self.bits)).astype(np.int64)
-        a, b = self.start[bucket], self.start[bucket + 1]
-        out = np.full(len(keys), -1, np.int32)
-        todo = np.flatnonzero(a < b)
-        for k in range(self.most):
-            if not len(todo):
-                break
-            spot = a[todo] + k
-            same = self.keys[spot] == keys[todo]
-            out[todo[same]] = self.at[spot[same]]
-            todo = todo[~same & (spot + 1 < b[todo])]
-        return out
+def packed(keys: np.ndarray, counts: np.ndarray | None = None) -> bytes:
+    """Sorted keys, and their counts."""
+    return np.array([len(keys)], np.int64).tobytes() + planes(np.diff(keys, prepend=U(0))) + (b"" if counts is None else planes(counts))
 
 
-@dataclass
-class Automaton:
-    """Bounded part of the model, ready to traverse, and where the pairs are that it leaves out."""
-
-    keys: np.ndarray  # head words, commonest first
-    counts: np.ndarray
-    tokens: int  # N
-    types: int  # V
-    arcs: np.ndarray  # (contexts, followers) log10 weight, nan where there is no arc
-    fall: np.ndarray  # log10 weight of each head word's failure arc, from all pairs
-    pairs: DataFrame | None = None  # (pair, c, w, n) of all pairs; not sent to tasks
-
-    def __post_init__(self) -> None:
-        self.index = Index(self.keys)
-
-    def start_weight(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 1.0) / (max(self.tokens, 0) + 1.0 * (self.types + 1)))
-
-    @property
-    def failure(self) -> np.ndarray:
-        """log10 of what each context leaves, in the block alone, to words without an arc there; equals
-        `fall` where the block holds all its arcs."""
-        own = 10 ** self.start_weight(self.counts[: self.arcs.shape[1]].astype(float))
-        has = ~np.isnan(self.arcs)
-        taken = np.where(has, 10 ** np.nan_to_num(self.arcs.astype(float)), 0).sum(axis=1)
-        return np.log10((1 - taken) / (1 - (has * own).sum(axis=1)))
-
-    def traverse(self, key: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-        """Per text: tokens, head tokens, base weight and score of what is in the head; the (row, key) of
-        the tokens that are not, whose start and failure weights are still to be added; and the (row, pair)
-        of the pairs outside the block, whose arcs are still to be added if seen."""
-        head = self.index.find(key)
-        inside = head >= 0
-        own = np.zeros(len(key))
-        own[inside] = self.start_weight(self.counts[head[inside]].astype(float))
-        step = own.copy()
-        at = np.flatnonzero(rows[1:] == rows[:-1]) + 1
-        c, w = head[at - 1].astype(np.int64), head[at].astype(np.int64)
-        step[at[c >= 0]] += self.fall[c[c >= 0]]
-        near = (c >= 0) & (c < self.arcs.shape[0]) & (w >= 0) & (w < self.arcs.shape[1])
-        arc = self.arcs[c[near], w[near]]
-        step[at[near]] = np.where(np.isnan(arc), step[at[near]], arc)
-        pair, _, _ = pair_ids(key, at[~near], c[~near], w[~near])
-        total = lambda w: np.bincount(rows, w, n)
-        return np.bincount(rows, minlength=n), total(inside), total(own), total(step), rows[~inside], key[~inside], rows[at[~near]], pair
+def unpacked(data: memoryview) -> tuple[np.ndarray, np.ndarray | None]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    steps, at = unplanes(data, 8, n)
+    return np.cumsum(steps, dtype=np.uint64), unplanes(data, at, n)[0] if at < len(data) else None
 
 
-def pair_ids(key: np.ndarray, at: np.ndarray, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(pair, c, w) of the pairs that end at tokens `at`, c and w their words' ranks in the head or -1. Pairs of
-    head words are their ranks and need no c and w; others are a negative hash, c and w a rank or a key."""
-    pair = c << 32 | w
-    far = np.flatnonzero((c < 0) | (w < 0))
-    before, last = key[at[far] - 1], key[at[far]]
-    pair[far] = (mix(mix(before) * U(3) ^ last) | U(1 << 63)).view(np.int64)
-    first, second = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    first[far] = np.where(c[far] < 0, before.view(np.int64), c[far])
-    second[far] = np.where(w[far] < 0, last.view(np.int64), w[far])
-    return pair, first, second
+def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    of = bucket_of(keys, KEY_BITS, buckets)
+    cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(of) else []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield int(of[a]), slice(a, b)
 
 
-def slice_of(pair: np.ndarray) -> np.ndarray:
-    return (pair ^ (pair >> 32)) & (SLICES - 1)
+def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(rows), 256):
+        bucket, kind, batch, data = zip(*rows[a : a + 256], strict=True)
+        yield pa.record_batch([pa.array(bucket, pa.int64()), pa.array(kind, pa.int32()), pa.array(batch, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "kind", "batch", "data"])
 
 
-def _pair_task(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, contexts, followers = shared.value
-        index = Index(keys)
-        block_pairs = np.zeros(contexts * followers, np.int64)
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-            pair, c, w, n = (np.concatenate(x) for x in zip(*parts))
-            pair, first, back = np.unique(pair, return_index=True, return_inverse=True)
-            return pair, c[first], w[first], np.bincount(back, n, len(pair)).astype(np.int64)
-
-        def sent(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(found[0]), 1 << 18):
-                yield pa.record_batch([pa.array(x[a : a + (1 << 18)]) for x in found], names=["pair", "c", "w", "n"])
+def _count_task(order: int, buckets: int):
+    def sent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        yield from _rows([(k, 0, 0, packed(keys[part], counts[part])) for k, part in by_bucket(keys, buckets)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for block in text_blocks(batch.column(0)):
-                key, rows = sequence(block)
-                head = index.find(key)
-                at = np.flatnonzero(rows[1:] == rows[:-1]) + 1
-                c, w = head[at - 1].astype(np.int64), head[at].astype(np.int64)
-                near = (c >= 0) & (c < contexts) & (w >= 0) & (w < followers)
-                block_pairs += np.bincount(c[near] * followers + w[near], minlength=len(block_pairs))
-                held.append((*pair_ids(key, at[~near], c[~near], w[~near]), np.ones(int((~near).sum()), np.int64)))
-                size += len(held[-1][0])
-                if size > PAIRS_HELD:
-                    held = [merged(held)]
-                    size = len(held[0][0])
-                    if size > PAIRS_HELD // 2:
-                        yield from sent(held[0])
-                        held, size = [], 0
-        if held:
-            yield from sent(merged(held))
-        seen = np.flatnonzero(block_pairs)
-        none = np.zeros(len(seen), np.int64)
-        yield from sent((seen // max(followers, 1) << 32 | seen % max(followers, 1), none, none, block_pairs[seen]))
+                held += [k for _, k in grams(*sequence(block), order)]
+                size += sum(map(len, held[-order:]))
+                if size > HELD:
+                    yield from sent(held)
+                    held, size = [], 0
+        if size:
+            yield from sent(held)
 
     return run
 
 
-def train(texts: DataFrame, head: int = HEAD, contexts: int = CONTEXTS, followers: int = FOLLOWERS) -> tuple[Automaton, DataFrame]:
-    """(automaton, counts(key, n, spread) of all words, spread being the number of words seen after one that is
-    not in the head) from a DataFrame whose only column is the text."""
-    spark = texts.sparkSession
-    ship(spark)
-    counts = checkpoint(texts.mapInArrow(_count_task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    # the largest count class from which on at most `head` words remain; classes are bounded in number
-    class_of = F.floor(F.log("n") * 50).cast("int")
-    classes = counts.groupBy(class_of.alias("c")).agg(F.count("*").alias("words")).collect()
-    least, room = 1 << 30, head
-    for r in sorted(classes, reverse=True):
-        room -= r.words
-        if room < 0:
-            break
-        least = r.c
-    top = counts.filter(class_of >= least).toArrow()
-    keys, n = np.asarray(top.column("key")).view(np.uint64), np.asarray(top.column("n"))
-    order = np.lexsort((keys.view(np.int64), -n))
-    keys, n = np.ascontiguousarray(keys[order]), n[order]
-    contexts, followers = min(contexts, len(keys)), min(followers, len(keys))
-    shared = spark.sparkContext.broadcast((keys, contexts, followers))
-    pairs = stored(
-        texts.mapInArrow(_pair_task(shared), "pair long, c long, w long, n long").groupBy("pair", "c", "w").agg(F.sum("n").alias("n")), "pairs"
-    )
-    release(spark)
-    rank = F.shiftright("pair", 32)
-    spread = checkpoint(pairs.groupBy(F.when(F.col("pair") >= 0, rank).otherwise(F.col("c")).alias("key")).agg(F.count("*").alias("spread")))
-    of_head = spread.filter((F.col("key") >= 0) & (F.col("key") < len(keys))).toArrow()
-    after = np.zeros(len(keys))
-    after[np.asarray(of_head.column("key"))] = np.asarray(of_head.column("spread"))
-    left = np.where(after > 0, DISCOUNT * after / np.maximum(n, 1), 1.0)  # each word but the end token has a follower
-    arcs = np.full((contexts, max(followers, 1)), np.nan, np.float32)
-    if contexts:
-        hot = (F.col("pair") >= 0) & (rank < contexts) & (F.col("pair").bitwiseAND(0xFFFFFFFF) < followers)
-        found = pairs.filter(hot).select("pair", "n").toArrow()
-        pair, seen = np.asarray(found.column("pair")), np.asarray(found.column("n"))
-        c, w = pair >> 32, pair & 0xFFFFFFFF
-        own = (n[w] + 1.0) / (total.n + 1.0 * (total.v + 1))
-        arcs[c, w] = np.log10((seen - DISCOUNT) / n[c] + left[c] * own)
-    counts = checkpoint(counts.join(spread, "key", "left"))
-    return Automaton(keys, n, int(total.n), int(total.v), arcs, np.log10(left), pairs), counts
-
-
-def arc_gains(model: Automaton, counts: DataFrame) -> DataFrame:
-    """(pair, gain) of all pairs outside the block: what a seen pair's arc weighs more than the failure arc and start weight."""
-    spark = counts.sparkSession
-    scale = float(max(model.tokens, 0) + 1.0 * (model.types + 1))
-    shared = spark.sparkContext.broadcast((model.counts, np.where(model.fall < 0, 10**model.fall * model.counts, 0.0) / DISCOUNT, model.arcs.shape))
-
-    def gain(n, spread, m):
-        return F.log10(1.0 + (n - F.lit(DISCOUNT)) * F.lit(scale / DISCOUNT) / (spread * (m + 1.0)))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, spread, block = shared.value
-        for batch in batches:
-            pair, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            c, w = pair >> 32, pair & 0xFFFFFFFF
-            out = (c >= block[0]) | (w >= block[1])
-            pair, n, c, w = pair[out], n[out], c[out], w[out]
-            value = np.log10(1.0 + (n - DISCOUNT) * (scale / DISCOUNT) / (spread[c] * (count[w] + 1.0)))
-            yield pa.record_batch([pa.array(pair), pa.array(value)], names=["pair", "gain"])
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spread and count of those words that are in the head; for those, the key to join is the pair, which no word has."""
-        count, spread, _ = shared.value
-        for batch in batches:
-            pair, c, w, n = (np.asarray(batch.column(k)) for k in range(4))
-            size = len(count)
-            c_in, w_in = (c >= 0) & (c < size), (w >= 0) & (w < size)
+def _pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for block in text_blocks(batch.column(1), BATCH):
+            ids = batch.column(0).slice(block.first, len(block)).to_pylist()
             yield pa.record_batch(
-                [
-                    pa.array(pair), pa.array(n), pa.array(np.where(c_in, pair, c)), pa.array(np.where(w_in, pair, w)),
-                    pa.array(spread[np.where(c_in, c, 0)], mask=~c_in), pa.array(count[np.where(w_in, w, 0)], mask=~w_in),
-                ],
-                names=["pair", "n", "c", "w", "spread_c", "n_w"],
+                [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.diff(block.off)], pa.list_(pa.int64())), pa.array([block.buf.tobytes()], pa.binary())],
+                names=["batch", "ids", "sizes", "data"],
             )
+            number += 1
 
-    pairs = model.pairs
-    far = pairs.filter("pair < 0").select("pair", "c", "w", "n").mapInArrow(ends, "pair long, n long, c long, w long, spread_c double, n_w long")
-    far = (
-        far.join(counts.select(F.col("key").alias("c"), "spread"), "c", "left").withColumn("spread_c", F.coalesce("spread_c", "spread"))
-        .join(counts.select(F.col("key").alias("w"), F.col("n").alias("m")), "w", "left").withColumn("n_w", F.coalesce("n_w", "m"))
-        .select("pair", gain(F.col("n"), F.col("spread_c"), F.col("n_w")).alias("gain"))
-    )
-    return pairs.filter("pair >= 0").select("pair", "n").mapInArrow(near, "pair long, gain double").unionByName(far)
 
+def _block(sizes: pa.Scalar, data: pa.Scalar) -> Block:
+    return Block(0, np.frombuffer(data.as_buffer(), np.uint8), np.concatenate(([0], np.cumsum(sizes.values.to_numpy()))))
 
-def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(replace(model, pairs=None))
 
+def _request_task(order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = shared.value
         for batch in batches:
-            for block in text_blocks(batch.column(1)):
-                n = len(block)
-                key, rows = sequence(block)
-                tokens, known, base, full, far_row, far_key, pair_row, pair = use.traverse(key, rows, n)
-                order = np.lexsort((far_key, far_row))
-                r, k = far_row[order], far_key[order]
-                new = np.ones(len(r), bool)
-                new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
-                times = np.diff(np.append(np.flatnonzero(new), len(r))).astype(np.int32)
-                r, k = r[new], k[new]
-                offsets = np.searchsorted(r, np.arange(n + 1)).astype(np.int32)
-                far = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(k.view(np.int64)), pa.array(times)], ["key", "times"]))
-                order = np.lexsort((pair, pair_row))  # sorted numbers take less room
-                pair_row, pair = pair_row[order], pair[order]
-                dealt, lists = slice_of(pair), []
-                for s in range(SLICES):
-                    own = dealt == s
-                    lists.append(pa.ListArray.from_arrays(np.searchsorted(pair_row[own], np.arange(n + 1)).astype(np.int32), pa.array(pair[own])))
-                yield pa.record_batch(
-                    [batch.column(0).slice(block.first, n), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(full), far, *lists],
-                    names=["doc_id", "n_tokens", "n_known", "base_score", "score", "far", *(f"pairs_{s}" for s in range(SLICES))],
-                )
-
-    kinds = "".join(f", pairs_{s} array<long>" for s in range(SLICES))
-    near = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, n_known long, base_score double, score double, far array<struct<key:long,times:int>>" + kinds
-    )
-    path = new_path(spark, "near")
-    near.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
-    near = spark.read.parquet(path)
-    zero = float(model.start_weight(np.zeros(1))[0])
-    scale = float(max(model.tokens, 0) + 1.0 * (model.types + 1))
-    weight = F.when(F.col("n").isNull(), F.lit(zero)).otherwise(F.log10((F.col("n") + 1.0) / F.lit(scale)))
-    fall = F.when(F.col("spread") > 0, F.log10(F.lit(DISCOUNT) * F.col("spread") / F.col("n"))).otherwise(F.lit(0.0))
-    tail = near.select("row", F.explode("far").alias("f")).select("row", F.col("f.key").alias("key"), F.col("f.times").alias("times"))
-    added = [
-        tail.join(counts, "key", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * weight).alias("add"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
-            F.sum(F.col("times") * fall).alias("arc"),
+            for number, sizes, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                keys = np.unique(np.concatenate([k for _, k in grams(*sequence(_block(sizes, data)), order)]))
+                yield from _rows([(k, 1, number, packed(keys[part])) for k, part in by_bucket(keys, buckets)])
+
+    return run
+
+
+def _answer_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of bucket and kind: the counts that each batch asked for; as batch -1, each bucket's tokens and words."""
+    now, parts, table = None, [], None
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        if not parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[first], np.add.reduceat(counts, first)
+
+    def said(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["batch", "bucket", "data", "tokens", "types"])
+
+    def totals() -> tuple:
+        keys, counts = table or merged()
+        word = (keys & U(3)) == 0
+        return -1, now, None, int(counts[word].sum()), int(word.sum())
+
+    for batch in batches:
+        rows = []
+        for bucket, kind, number, data in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+            if bucket != now:
+                if now is not None:
+                    rows.append(totals())
+                now, parts, table = bucket, [], None
+            keys, counts = unpacked(memoryview(data.as_buffer()))
+            if kind == 0:
+                parts.append((keys, counts))
+                continue
+            table = table or merged()
+            if len(table[0]):
+                at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+                counts = np.where(table[0][at] == keys, table[1][at], 0)
+            else:
+                counts = np.zeros(len(keys), np.int64)
+            rows.append((number, bucket, np.array([len(keys)], np.int64).tobytes() + planes(counts), None, None))
+        if rows:
+            yield said(rows)
+    if now is not None:
+        yield said([totals()])
+
+
+def traverse(key: np.ndarray, rows: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], tokens: int, types: int, mu: float) -> tuple[np.ndarray, np.ndarray]:
+    """(start weight, weight) of each token, as log10. found: for each length, last tokens and counts of the n-grams."""
+    own = (found[0][1] + 1.0) / (tokens + 1.0 * (types + 1))
+    p, ends_here = own.copy(), found[0][1]
+    for at, count in found[1:]:
+        history = ends_here[at - 1]  # the count of the history, which ends a token before
+        p[at] = (count + mu * p[at]) / (history + mu)
+        ends_here = np.zeros(len(key))
+        ends_here[at] = count
+    return np.log10(own), np.log10(p)
+
+
+def _score_task(order: int, tokens: int, types: int, mu: float):
+    def scored(ids: pa.Scalar, sizes: pa.Scalar, data: pa.Scalar, parts: list[np.ndarray]) -> pa.RecordBatch:
+        block = _block(sizes, data)
+        n = len(block)
+        key, rows = sequence(block)
+        own = grams(key, rows, order)
+        _, back = np.unique(np.concatenate([k for _, k in own]), return_inverse=True)
+        counts = np.concatenate([np.zeros(0), *parts])[back]
+        cuts = np.cumsum([0, *(len(k) for _, k in own)])
+        found = [(at, counts[a:b]) for (at, _), a, b in zip(own, cuts, cuts[1:], strict=False)]
+        base, full = traverse(key, rows, found, tokens, types, mu)
+        total = lambda w: np.bincount(rows, w, n)
+        return pa.record_batch(
+            [ids.values, pa.array(np.bincount(rows, minlength=n)), pa.array(total(found[0][1] > 0).astype(np.int64)), pa.array(np.full(n, tokens)), pa.array(total(base)), pa.array(total(full))],
+            names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
-    ]
-    gains = arc_gains(model, counts)
-    of = F.col("pair").bitwiseXOR(F.shiftright("pair", 32)).bitwiseAND(SLICES - 1)
-    for s in range(SLICES):  # one after another, and each one's exchange released: the disk holds one at a time
-        met = near.select("row", F.explode(f"pairs_{s}").alias("pair")).join(gains.filter(of == s), "pair")
-        added.append(checkpoint(met.groupBy("row").agg(F.lit(0.0).alias("add"), F.lit(0).cast("long").alias("more"), F.sum("gain").alias("arc"))))
-        del met
-        release(spark)
-    rest = reduce(DataFrame.unionByName, added).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("add", "more", "arc")))
-    add, more, arc = (F.coalesce(x, F.lit(0)) for x in ("add", "more", "arc"))
-    return near.select("row", "doc_id", "n_tokens", "n_known", "base_score", "score").join(rest, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + more).alias("n_known"),
-        (F.col("base_score") + add).alias("base_score"), (F.col("score") + add + arc).alias("score"),
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for kind, ids, sizes, data in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
+                if kind == 0:
+                    if now:
+                        yield scored(*now, parts)
+                    now, parts = (ids, sizes, data), []
+                else:
+                    view = memoryview(data.as_buffer())
+                    parts.append(unplanes(view, 8, int(np.frombuffer(view, np.int64, 1)[0]))[0])
+        if now:
+            yield scored(*now, parts)
+
+    return run
+
+
+@dataclass
+class Counts:
+    """Counted n-grams up to a length, as packed rows (bucket, kind, batch, data)."""
+
+    rows: DataFrame
+    order: int
+    buckets: int
+
+
+def train(texts: DataFrame, order: int = 3) -> Counts:
+    """Counts of a DataFrame whose first column is the text; order is at most 4. Lazy: store `rows` to score often."""
+    ship(texts.sparkSession)
+    column = texts.columns[0]
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    buckets = min(int(size) // BUCKET_BYTES + 16, 1 << 17)
+    return Counts(texts.select(column).mapInArrow(_count_task(order, buckets), ROW), order, buckets)
+
+
+def score(docs: DataFrame, counts: Counts, mu: float = MU) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of docs(doc_id, text)."""
+    spark = docs.sparkSession
+    ship(spark)
+    order, buckets = counts.order, counts.buckets
+    texts = stored(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_pack_task, "batch long, ids array<long>, sizes array<long>, data binary"), "texts", "zstd")
+    answers = _answers(texts, counts)
+    release(spark)
+    total = answers.filter("batch = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
+    met = texts.select("batch", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("bucket"), "ids", "sizes", "data").unionByName(
+        answers.filter("batch >= 0").select("batch", F.lit(1).alias("kind"), "bucket", "data"), allowMissingColumns=True
     )
+    met = met.repartition("batch").sortWithinPartitions("batch", "kind", "bucket").select("kind", "ids", "sizes", "data")
+    with small_batches(spark, 256):
+        kinds = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        return stored(met.mapInArrow(_score_task(order, int(total.n), int(total.v), mu), kinds), "scores")
+
+
+def _answers(texts: DataFrame, counts: Counts) -> DataFrame:
+    """(batch, bucket, data, tokens, types), stored. A function of its own, so that nothing refers to its exchange afterwards."""
+    spark = texts.sparkSession
+    asked = texts.select("batch", "sizes", "data").mapInArrow(_request_task(counts.order, counts.buckets), ROW)
+    dealt = counts.rows.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    with small_batches(spark, 256):
+        return stored(dealt.mapInArrow(_answer_task, "batch long, bucket long, data binary, tokens long, types long"), "answers", "zstd")

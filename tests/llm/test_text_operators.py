@@ -219,70 +219,97 @@ def brute_base(texts, train):
     return [(len(w := tokens(t)), sum(counts[x] > 0 for x in w), sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)) for t in texts], n
 
 
-@pytest.mark.parametrize("bounds", [{}, {"head": 20, "contexts": 5, "followers": 10}, {"head": 3, "contexts": 2, "followers": 2}])
-def test_lm_against_brute_force(spark, edge_docs, bounds):
-    model, counts = lm.train(edge_docs.filter("doc_id is null or doc_id <> 6").select("text"), **bounds)
+def test_lm_base_against_brute_force(spark, edge_docs):
     rows = edge_docs.collect()
     want, n = brute_base([r.text for r in rows], [r.text for r in rows if r.doc_id != 6])
-    got = lm.score(edge_docs, model, counts).collect()
-    assert model.tokens == n
+    got = lm.score(edge_docs, lm.train(edge_docs.filter("doc_id is null or doc_id <> 6").select("text"))).collect()
+    assert {r.train_tokens for r in got} == {n}
     key = lambda t: (t[0], t[1], round(t[2], 4))
     assert sorted(map(key, [(r.n_tokens, r.n_known, r.base_score) for r in got])) == sorted(map(key, want))
 
 
-def test_each_state_sums_to_one(spark):
-    rnd = random.Random(1)
-    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(30)) for _ in range(40)]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    model, _ = lm.train(df, contexts=4, followers=5)
-    start = 10 ** model.start_weight(model.counts.astype(float))
-    unknown = 1 / (model.tokens + model.types + 1)
-    assert start.sum() + unknown == pytest.approx(1)
-    for c in range(4):
-        arcs = 10 ** model.arcs[c].astype(float)
-        fall = 10 ** model.failure[c]
-        has = ~np.isnan(arcs)
-        rest = start.sum() + unknown - start[: len(arcs)][has].sum()
-        assert arcs[has].sum() + fall * rest == pytest.approx(1, abs=1e-6)
+class PlainModel:
+    """The automaton word by word: states in a dictionary, failure arcs followed one after another."""
+
+    def __init__(self, texts, order, mu):
+        self.order, self.mu, self.counts = order, mu, collections.Counter()
+        for t in texts:
+            w = self.tokens(t)
+            self.counts.update(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+        one = {g: c for g, c in self.counts.items() if len(g) == 1}
+        self.start = lambda w: (one.get((w,), 0) + 1) / (sum(one.values()) + len(one) + 1)
+
+    @staticmethod
+    def tokens(t):
+        return [*WORD.findall((t or "").translate(ASCII_LOWER)), None]
+
+    def weight(self, state, w):
+        """Through failure arcs down to the start state; what an arc adds on the way."""
+        if not state:
+            return self.start(w)
+        fall = self.mu / (self.counts[state] + self.mu)
+        return self.counts[(*state, w)] / (self.counts[state] + self.mu) + fall * self.weight(state[1:], w)
+
+    def score(self, t):
+        state, total = (), 0.0
+        for w in self.tokens(t):
+            total += math.log10(self.weight(state, w))
+            state = (*state, w)[-(self.order - 1) :] if self.order > 1 else ()
+        return total
+
+
+@pytest.mark.parametrize(("order", "held", "batch"), [(3, 1 << 21, 2 << 20), (3, 40, 300), (2, 500, 10), (1, 100, 100), (4, 100, 1000)])
+def test_lm_against_a_plain_automaton(spark, monkeypatch, order, held, batch):
+    """Whatever the runs, batches and buckets, scores are those of the whole automaton, whose states sum to one."""
+    monkeypatch.setattr(lm, "BUCKET_BYTES", held)
+    rnd = random.Random(3)
+    text = lambda: " ".join(f"w{int(rnd.paretovariate(0.7)) % 60}" for _ in range(rnd.randrange(40)))
+    train, held_out = [text() for _ in range(60)], [text() + " never seen" for _ in range(20)] + [""]
+    plain = PlainModel(train, order, 2.5)
+    words = [*{g[0] for g in plain.counts if len(g) == 1}, "unknown"]
+    for state in [s for s in [(), ("w1",), ("w2", "w1"), ("w7",), ("nowhere", "w1")] if len(s) < order]:
+        assert sum(plain.weight(state, w) for w in words) == pytest.approx(1)
+    counts = lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), order)
+    assert counts.buckets > 16 or held > 10_000
+    docs = spark.createDataFrame(list(enumerate(train + held_out)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.score(docs, counts, 2.5).collect()}
+    assert [got[i] for i in range(len(got))] == pytest.approx([plain.score(t) for t in train + held_out], abs=1e-9)
+
+
+def test_lm_runs_and_batches():
+    """Counts merge over runs of any size, and answers keep the order of what was asked."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 30, 50)) for _ in range(40)]
+    want = collections.Counter()
+    rows = []
+    for some in (texts[:25], texts[25:]):
+        block = next(text_blocks(pa.array(some)))
+        want.update(np.concatenate([k for _, k in lm.grams(*lm.sequence(block), 3)]).tolist())
+        rows += [r for b in lm._count_task(3, 7)(iter([pa.record_batch([pa.array(some)], names=["t"])])) for r in b.to_pylist()]
+    asked = np.unique(np.array([*list(want)[:500], *(rng.integers(0, 1 << 54, 50) << 2)], np.uint64))
+    rows += [{"bucket": k, "kind": 1, "batch": 5, "data": lm.packed(asked[part])} for k, part in lm.by_bucket(asked, 7)]
+    rows.sort(key=lambda r: (r["bucket"], r["kind"]))
+    schema = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("data", pa.binary())])
+    batches = (pa.RecordBatch.from_pylist(rows[a : a + 3], schema) for a in range(0, len(rows), 3))
+    out = [r for b in lm._answer_task(batches) for r in b.to_pylist()]
+    got = np.concatenate([lm.unplanes(r["data"], 8, int.from_bytes(r["data"][:8], "little"))[0] for r in out if r["batch"] == 5])
+    assert got.tolist() == [want[k] for k in asked.tolist()]
+    ones = {k: c for k, c in want.items() if not k & 3}
+    assert (sum(r["tokens"] or 0 for r in out), sum(r["types"] or 0 for r in out)) == (sum(ones.values()), len(ones))
 
 
 def test_lm_predicts_order(spark):
     train = spark.createDataFrame([("a b c d " * 50,)] * 5, "text string")
-    model, counts = lm.train(train)
     docs = spark.createDataFrame([(1, "a b c d a b c d"), (2, "d c b a d c b a")], "doc_id long, text string")
-    rows = {r.doc_id: r for r in lm.score(docs, model, counts).collect()}
+    rows = {r.doc_id: r for r in lm.score(docs, lm.train(train)).collect()}
     assert rows[1].base_score == pytest.approx(rows[2].base_score) and rows[1].score > rows[2].score + 3
 
 
-@pytest.mark.parametrize("bounds", [{}, {"head": 20, "contexts": 5, "followers": 10}, {"head": 3, "contexts": 2, "followers": 2}])
-def test_lm_scores_all_pairs(spark, bounds):
-    """Every seen pair has its arc and every word its failure weight, in the broadcast block or not."""
-    rnd = random.Random(3)
-    text = lambda: " ".join(f"w{int(rnd.paretovariate(0.7)) % 60}" for _ in range(rnd.randrange(40)))
-    train, held = [text() for _ in range(60)], [text() + " never seen" for _ in range(20)]
-    tokens = lambda t: [*t.split(), None]
-    counts = collections.Counter(w for t in train for w in tokens(t))
-    pairs = collections.Counter(p for t in train for p in zip(tokens(t), tokens(t)[1:]))
-    spread = collections.Counter(c for c, _ in pairs)
-    own = lambda w: (counts[w] + 1) / (sum(counts.values()) + len(counts) + 1)
-
-    def weight(c, w):
-        if not spread[c]:
-            return own(w)
-        return (max(pairs[c, w] - lm.DISCOUNT, 0) + lm.DISCOUNT * spread[c] * own(w)) / counts[c]
-
-    want = [math.log10(own(tokens(t)[0])) + sum(math.log10(weight(c, w)) for c, w in zip(tokens(t), tokens(t)[1:])) for t in train + held]
-    model, words_of = lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), **bounds)
-    docs = spark.createDataFrame(list(enumerate(train + held)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.score for r in lm.score(docs, model, words_of).collect()}
-    assert [got[i] for i in range(len(want))] == pytest.approx(want, abs=1e-4)
-
-
 def test_lm_empty(spark, no_docs):
-    model, counts = lm.train(no_docs.select("text"))
-    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    assert {(r.doc_id, r.n_tokens, r.n_known) for r in lm.score(docs, model, counts).collect()} == {(1, 3, 0), (2, 1, 0)}
-    assert lm.score(no_docs, model, counts).count() == 0
+    counts = lm.train(no_docs.select("text"))
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "c")], "doc_id long, text string")
+    assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in lm.score(docs, counts).collect()} == {(1, 3, 0, 0), (2, 1, 0, 0), (None, 2, 0, 0)}
+    assert lm.score(no_docs, counts).count() == 0
 
 
 # 9
