@@ -12,7 +12,9 @@ buckets; a task counts in sorted runs and sends for each bucket one packed blob
 by byte). Documents are stored in batches of about BATCH bytes; a batch asks each bucket for the counts of its distinct n-grams,
 the bucket's task merges what was counted and answers in the same order, and the answers meet their batch
 again: the slice of the automaton that this batch can reach. Blobs are one row a bucket and run, so no n-gram is hot.
-Counts are a DataFrame that can be stored; the union of two (of equal order and buckets) counts both corpora.
+Buckets are worked on in SLICES parts, one after another, so that the disk holds one part's exchange at a time.
+Counts are a DataFrame that can be stored; the union of two (of equal order and buckets) counts both corpora. Where
+the training texts are among those to score, score_within() lets what a batch asks also bring what it counts.
 
 Defined results: null, empty and blank texts are the end token alone; words never seen have the
 start state's weight for count zero; with an empty training set all words are such; repeated
@@ -23,11 +25,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, U, Block, bucket_of, mix, planes, release, ship, small_batches, stored, text_blocks, unplanes, window_hashes, word_hashes, words
@@ -40,6 +43,8 @@ BATCH = 2 << 20
 HELD = 1 << 21
 BUCKET_BYTES = 1 << 21
 KEY_BITS = 56
+#: Parts of the buckets that are exchanged one after another.
+SLICES = 2
 #: The end token's key; words' hashes are 64-bit values other than this with near certainty.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 ROW = "bucket long, kind int, batch long, data binary"
@@ -114,11 +119,9 @@ def _pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for block in text_blocks(batch.column(1), BATCH):
-            ids = batch.column(0).slice(block.first, len(block)).to_pylist()
-            yield pa.record_batch(
-                [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.diff(block.off)], pa.list_(pa.int64())), pa.array([block.buf.tobytes()], pa.binary())],
-                names=["batch", "ids", "sizes", "data"],
-            )
+            ids, trains = (batch.column(k).slice(block.first, len(block)).to_pylist() for k in (0, 2))
+            lists = [pa.array([x], pa.list_(k)) for x, k in ((ids, pa.int64()), (trains, pa.bool_()), (np.diff(block.off), pa.int64()))]
+            yield pa.record_batch([pa.array([number]), *lists, pa.array([block.buf.tobytes()], pa.binary())], names=["batch", "ids", "trains", "sizes", "data"])
             number += 1
 
 
@@ -126,60 +129,71 @@ def _block(sizes: pa.Scalar, data: pa.Scalar) -> Block:
     return Block(0, np.frombuffer(data.as_buffer(), np.uint8), np.concatenate(([0], np.cumsum(sizes.values.to_numpy()))))
 
 
-def _request_task(order: int, buckets: int):
+def _inside(keys: np.ndarray, part: int, buckets: int) -> np.ndarray:
+    """Which keys are in a part of the buckets."""
+    of = bucket_of(keys, KEY_BITS, buckets)
+    return (of >= part * buckets // SLICES) & (of < (part + 1) * buckets // SLICES)
+
+
+def _request_task(order: int, buckets: int, part: int):
+    """What each batch asks for, with the counts of its own training texts if it has any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, sizes, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                keys = np.unique(np.concatenate([k for _, k in grams(*sequence(_block(sizes, data)), order)]))
-                yield from _rows([(k, 1, number, packed(keys[part])) for k, part in by_bucket(keys, buckets)])
+            for number, trains, sizes, data in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
+                key, rows = sequence(_block(sizes, data))
+                trained = np.asarray(trains.values)
+                every, counted = [], []
+                for at, k in grams(key, rows, order):
+                    inside = _inside(k, part, buckets)
+                    every.append(k[inside])
+                    counted.append(every[-1][trained[rows[at[inside]]]])
+                keys = np.unique(np.concatenate(every))
+                counts = None
+                if trained.any():
+                    counts = np.zeros(len(keys), np.int64)
+                    known, n = np.unique(np.concatenate(counted), return_counts=True)
+                    counts[np.searchsorted(keys, known)] = n
+                yield from _rows([(k, 1, number, packed(keys[cut], None if counts is None else counts[cut])) for k, cut in by_bucket(keys, buckets)])
 
     return run
 
 
 def _answer_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of bucket and kind: the counts that each batch asked for; as batch -1, each bucket's tokens and words."""
-    now, parts, table = None, [], None
+    """Rows in the order of buckets: the counts that each batch asked for; as batch -1, each bucket's tokens and words."""
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        if not parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def answered(bucket: int, parts: list[tuple], asked: list[tuple]) -> pa.RecordBatch:
+        keys, counts = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.uint64)), *parts, strict=True))
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[first], np.add.reduceat(counts, first)
-
-    def said(rows: list[tuple]) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        if len(keys):
+            keys, counts = keys[first], np.add.reduceat(counts, first)
+        word = ((keys & U(3)) == 0) & (counts > 0)
+        rows = [(-1, bucket, None, int(counts[word].sum()), int(word.sum()))]
+        for number, want in asked:
+            got = np.zeros(len(want), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                got = np.where(keys[at] == want, counts[at], 0)
+            rows.append((number, bucket, np.array([len(want)], np.int64).tobytes() + planes(got), None, None))
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["batch", "bucket", "data", "tokens", "types"])
 
-    def totals() -> tuple:
-        keys, counts = table or merged()
-        word = (keys & U(3)) == 0
-        return -1, now, None, int(counts[word].sum()), int(word.sum())
-
+    now, parts, asked = None, [], []
     for batch in batches:
-        rows = []
         for bucket, kind, number, data in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
             if bucket != now:
                 if now is not None:
-                    rows.append(totals())
-                now, parts, table = bucket, [], None
+                    yield answered(now, parts, asked)
+                now, parts, asked = bucket, [], []
             keys, counts = unpacked(memoryview(data.as_buffer()))
-            if kind == 0:
+            if counts is not None:
                 parts.append((keys, counts))
-                continue
-            table = table or merged()
-            if len(table[0]):
-                at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-                counts = np.where(table[0][at] == keys, table[1][at], 0)
-            else:
-                counts = np.zeros(len(keys), np.int64)
-            rows.append((number, bucket, np.array([len(keys)], np.int64).tobytes() + planes(counts), None, None))
-        if rows:
-            yield said(rows)
+            if kind == 1:
+                asked.append((number, keys))
     if now is not None:
-        yield said([totals()])
+        yield answered(now, parts, asked)
 
 
 def traverse(key: np.ndarray, rows: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], tokens: int, types: int, mu: float) -> tuple[np.ndarray, np.ndarray]:
@@ -232,28 +246,44 @@ def _score_task(order: int, tokens: int, types: int, mu: float):
 class Counts:
     """Counted n-grams up to a length, as packed rows (bucket, kind, batch, data)."""
 
-    rows: DataFrame
+    rows: DataFrame | None
     order: int
     buckets: int
 
 
+def _buckets(texts: DataFrame, column: str) -> int:
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    return min(int(size) // BUCKET_BYTES + 16, 1 << 17)
+
+
 def train(texts: DataFrame, order: int = 3) -> Counts:
     """Counts of a DataFrame whose first column is the text; order is at most 4. Lazy: store `rows` to score often."""
     ship(texts.sparkSession)
     column = texts.columns[0]
-    size = texts.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
-    buckets = min(int(size) // BUCKET_BYTES + 16, 1 << 17)
+    buckets = _buckets(texts, column)
     return Counts(texts.select(column).mapInArrow(_count_task(order, buckets), ROW), order, buckets)
 
 
 def score(docs: DataFrame, counts: Counts, mu: float = MU) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of docs(doc_id, text), stored."""
+    return _scored(docs.selectExpr("cast(doc_id as long) doc_id", "text", "false trains"), counts, mu)
+
+
+def score_within(docs: DataFrame, trains: Column, order: int = 3, mu: float = MU) -> DataFrame:
+    """The same, learning from those rows of docs for which `trains` is true."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(trains, F.lit(False)).alias("trains"))
+    return _scored(rows, Counts(None, order, _buckets(docs, "text")), mu)
+
+
+def _scored(rows: DataFrame, counts: Counts, mu: float) -> DataFrame:
+    spark = rows.sparkSession
     ship(spark)
-    order, buckets = counts.order, counts.buckets
-    texts = stored(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_pack_task, "batch long, ids array<long>, sizes array<long>, data binary"), "texts", "zstd")
-    answers = _answers(texts, counts)
-    release(spark)
+    texts = stored(rows.mapInArrow(_pack_task, "batch long, ids array<long>, trains array<boolean>, sizes array<long>, data binary"), "texts", "zstd")
+    parts = []
+    for part in range(SLICES):
+        parts.append(_answers(texts, counts, part))
+        release(spark)
+    answers = reduce(DataFrame.unionByName, parts)
     total = answers.filter("batch = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     met = texts.select("batch", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("bucket"), "ids", "sizes", "data").unionByName(
         answers.filter("batch >= 0").select("batch", F.lit(1).alias("kind"), "bucket", "data"), allowMissingColumns=True
@@ -261,13 +291,16 @@ def score(docs: DataFrame, counts: Counts, mu: float = MU) -> DataFrame:
     met = met.repartition("batch").sortWithinPartitions("batch", "kind", "bucket").select("kind", "ids", "sizes", "data")
     with small_batches(spark, 256):
         kinds = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        return stored(met.mapInArrow(_score_task(order, int(total.n), int(total.v), mu), kinds), "scores")
+        return stored(met.mapInArrow(_score_task(counts.order, int(total.n), int(total.v), mu), kinds), "scores")
 
 
-def _answers(texts: DataFrame, counts: Counts) -> DataFrame:
-    """(batch, bucket, data, tokens, types), stored. A function of its own, so that nothing refers to its exchange afterwards."""
+def _answers(texts: DataFrame, counts: Counts, part: int) -> DataFrame:
+    """(batch, bucket, data, tokens, types) of a part, stored. A function of its own, so that nothing refers to its exchange afterwards."""
     spark = texts.sparkSession
-    asked = texts.select("batch", "sizes", "data").mapInArrow(_request_task(counts.order, counts.buckets), ROW)
-    dealt = counts.rows.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    rows = texts.select("batch", "trains", "sizes", "data").mapInArrow(_request_task(counts.order, counts.buckets, part), ROW)
+    if counts.rows is not None:
+        low, high = (k * counts.buckets // SLICES for k in (part, part + 1))
+        rows = rows.unionByName(counts.rows.filter((F.col("bucket") >= low) & (F.col("bucket") < high)))
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
     with small_batches(spark, 256):
         return stored(dealt.mapInArrow(_answer_task, "batch long, bucket long, data binary, tokens long, types long"), "answers", "zstd")

@@ -272,8 +272,11 @@ def test_lm_against_a_plain_automaton(spark, monkeypatch, order, held, batch):
     counts = lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), order)
     assert counts.buckets > 16 or held > 10_000
     docs = spark.createDataFrame(list(enumerate(train + held_out)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.score for r in lm.score(docs, counts, 2.5).collect()}
-    assert [got[i] for i in range(len(got))] == pytest.approx([plain.score(t) for t in train + held_out], abs=1e-9)
+    monkeypatch.setattr(lm, "BATCH", batch)
+    trains = docs.doc_id < len(train)
+    for scores in (lm.score(docs, counts, 2.5), lm.score_within(docs, trains, order, 2.5)):
+        got = {r.doc_id: r.score for r in scores.collect()}
+        assert [got[i] for i in range(len(got))] == pytest.approx([plain.score(t) for t in train + held_out], abs=1e-9)
 
 
 def test_lm_runs_and_batches():
@@ -288,7 +291,7 @@ def test_lm_runs_and_batches():
         rows += [r for b in lm._count_task(3, 7)(iter([pa.record_batch([pa.array(some)], names=["t"])])) for r in b.to_pylist()]
     asked = np.unique(np.array([*list(want)[:500], *(rng.integers(0, 1 << 54, 50) << 2)], np.uint64))
     rows += [{"bucket": k, "kind": 1, "batch": 5, "data": lm.packed(asked[part])} for k, part in lm.by_bucket(asked, 7)]
-    rows.sort(key=lambda r: (r["bucket"], r["kind"]))
+    rows.sort(key=lambda r: r["bucket"])
     schema = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("data", pa.binary())])
     batches = (pa.RecordBatch.from_pylist(rows[a : a + 3], schema) for a in range(0, len(rows), 3))
     out = [r for b in lm._answer_task(batches) for r in b.to_pylist()]
