@@ -195,9 +195,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where unset."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where unset and all runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quadrille-checkpoint-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

@@ -145,20 +145,31 @@ def build(texts: dict[str, bytes]) -> Model:
 
 
 def train(labelled: DataFrame, docs_per_lang: int = 100, bytes_per_doc: int = 2000, bytes_per_lang: int = 24_000) -> Model | None:
-    """From rows (doc_id, text, lang); null languages are left out."""
+    """From rows (doc_id, text, lang); null languages are left out.
+
+    Of each language at most docs_per_lang documents are taken, in the order of a hash of the id, and of each a
+    piece that starts at a place given by that hash, so short that all of them fit in bytes_per_lang together.
+    """
     rows = labelled.filter("lang is not null and text is not null")
     ids = sample_ids(rows, "doc_id", ["lang"], docs_per_lang).select("doc_id")
+    room = F.greatest(F.length("text") - bytes_per_doc, F.lit(0)) + 1
     got = (
         rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-        .select("lang", "doc_id", F.substring("text", 1, bytes_per_doc).alias("text"))
+        .select("lang", "doc_id", F.substring("text", (F.pmod(F.xxhash64("doc_id"), room) + 1).cast("int"), F.lit(bytes_per_doc)).alias("text"))
         .collect()
     )
-    texts: dict[str, bytearray] = {}
+    pieces: dict[str, list[bytes]] = {}
     for r in sorted(got, key=lambda r: (r.lang, r.doc_id, r.text)):
-        have = texts.setdefault(r.lang, bytearray())
-        if len(have) < bytes_per_lang:
-            have += r.text.encode()[: bytes_per_lang - len(have)] + b"\n"
-    texts = {k: bytes(v) for k, v in texts.items() if v.strip()}
+        pieces.setdefault(r.lang, []).append(r.text.encode())
+    texts: dict[str, bytes] = {}
+    for lang, parts in pieces.items():
+        left = bytes_per_lang
+        out = []
+        for i, part in enumerate(sorted(parts, key=len)):  # what short ones leave goes to the longer
+            out.append(part[: max(left // (len(parts) - i) - 1, 1)])
+            left -= len(out[-1]) + 1
+        if b"".join(out).strip():
+            texts[lang] = b"\n".join(out)
     return build(texts) if texts else None
 
 

@@ -3,17 +3,18 @@
 A text is cut into segments of SEGMENT words. A segment is the bag of its words and of the
 byte n-grams (3 to 6, with word marks) of those words, each hashed to a row of an embedding
 table; the mean of the rows goes through a linear softmax. Embeddings and softmax are
-trained together. Toxic remarks are spread through a toxic text, so a text scores as the
-segment at rank 1 + SHARE of its segments, most toxic first: the most toxic one of a short text, and
-in a long one a chance likeness does not decide. In training the leading segments of a
+trained together. Toxic remarks are spread through a toxic text, or stand together in one passage of it. So a text scores as the
+greater of two: its segment at rank 1 + SHARE of its segments, most toxic first (the most toxic one of a short text, while
+in a long one a chance likeness does not decide); and the least toxic segment of its most toxic run
+of RUN segments, whatever the length of the text. In training the leading segments of a
 toxic text carry its label, chosen anew each epoch, and every segment of the others carries theirs.
 
 The softmax of a mean is linear in the rows, so scoring needs one number a row: the table
 is projected once, and whole texts are scored with gathers and running sums. Misspelt words
 share most n-grams with their models.
 
-Training takes at most `per_class` labelled texts of each class, chosen by a hash of the id, and at most
-`chars` characters of each; scoring reads whole texts.
+Training takes whole labelled texts, at most `per_class` of each class in the order of a hash of the id, those of them that fit in
+`chars` characters together; scoring reads whole texts.
 
 Defined results: null, empty and blank texts are scored by the bias alone, as an empty bag; without
 labels of both classes every score is 0; repeated rows get equal scores; empty tables give an
@@ -35,6 +36,8 @@ from .common import LOWER, U, Block, mix, sample_ids, ship, text_blocks, word_ha
 SEGMENT = 8
 #: A text scores as the segment at this share from its most toxic one.
 SHARE = 0.05
+#: Neighbouring segments that make a passage.
+RUN = 3
 NGRAMS = (3, 4, 5, 6)
 ROWS = 1 << 17
 DIM = 12
@@ -93,6 +96,16 @@ def leading(logit: np.ndarray, text: np.ndarray, n_texts: int, share: float) ->
     return value, leads
 
 
+def pooled(logit: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
+    """The value of each text, -inf without a segment."""
+    value, _ = leading(logit, text, n_texts, SHARE)
+    if len(logit) >= RUN:
+        least = np.lib.stride_tricks.sliding_window_view(logit, RUN).min(axis=1)
+        whole = text[: len(least)] == text[RUN - 1 :]
+        np.maximum.at(value, text[: len(least)][whole], least[whole])
+    return value
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # of each table row: its embedding through the softmax, as a log odds
@@ -104,7 +117,7 @@ class Model:
         if len(text):
             total = np.bincount(segs, self.weight[rows], len(text))
             logit = total / np.maximum(np.bincount(segs, minlength=len(text)), 1) + self.bias
-            low, _ = leading(logit, text, len(block), SHARE)
+            low = pooled(logit, text, len(block))
             out = np.where(np.isfinite(low), low, out)
         return 1.0 / (1.0 + np.exp(-np.clip(out, -500, 500)))
 
@@ -203,23 +216,31 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 6, rate: float = 0.02
             bias -= rate * g_bias / np.sqrt(seen_b)
         weight = table @ (soft[:, 1] - soft[:, 0])
         logit = np.bincount(segs, weight[rows], at) / count + bias[1] - bias[0]
-    best, _ = leading(logit, text, len(toxic), SHARE)
+    best = pooled(logit, text, len(toxic))
     best = np.where(np.isfinite(best), best, bias[1] - bias[0])
     # the cut becomes a log odds of log(0.3 / 0.7)
     seen, truth = (best[apart], toxic[apart]) if apart.any() else (best, toxic)
     grid = np.unique(np.concatenate(([seen.min() - 1], seen, [seen.max() + 1])))
     mids = (grid[1:] + grid[:-1]) / 2
-    wrong = [(seen[truth == 1] < c).mean() + 2 * (seen[truth == 0] >= c).mean() for c in mids]  # a clean text wrongly marked counts twice
+    wrong = [(seen[truth == 1] < c).mean() + 4 * (seen[truth == 0] >= c).mean() for c in mids]  # a clean text wrongly marked counts four times
     flat = mids[np.flatnonzero(np.isclose(wrong, min(wrong)))]
     shift = np.log(0.3 / 0.7) - (flat.min() + flat.max()) / 2
     return Model(weight, float(bias[1] - bias[0] + shift))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 800, chars: int = 2500) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 800, chars: int = 4_000_000) -> Model | None:
     """From docs(doc_id, text) and labels(doc_id, toxic)."""
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = sample_ids(known, "doc_id", ["toxic"], per_class)
-    got = docs.filter("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, chars).alias("text"), "toxic").collect()
+    rows = docs.filter("text is not null").join(F.broadcast(ids), "doc_id")
+    sizes = rows.groupBy("doc_id", "toxic").agg(F.sum(F.length("text")).alias("n"), F.xxhash64("doc_id").alias("place")).collect()
+    left, chosen = {}, []
+    for r in sorted(sizes, key=lambda r: (r.place, r.doc_id)):
+        share = left.setdefault(r.toxic, chars // 2)
+        if r.n <= share:
+            left[r.toxic] -= r.n
+            chosen.append(r.doc_id)
+    got = rows.filter(F.col("doc_id").isin(chosen)).select("doc_id", "text", "toxic").collect() if chosen else []
     got.sort(key=lambda r: (r.doc_id, r.text))
     return fit([r.text for r in got], np.array([int(r.toxic == 1) for r in got])) if got else None
 

@@ -333,6 +333,33 @@ def test_toxicity_held_out_and_misspelt(spark):
     assert s[0] >= 0.3 and s[1] >= 0.3 and s[2] < 0.3
 
 
+def test_a_toxic_passage_counts_at_any_length():
+    """Text scores against a plain version; one toxic passage in a long clean text is found, one chance segment is not."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 0.1, toxicity.ROWS), -1.0)
+    bad = next(b for b in text_blocks(pa.array(["vile scum"])))
+    model.weight[np.unique(toxicity.bags(bad)[0])] = 9.0
+    clean = [f"w{i}" for i in rng.integers(0, 5000, 20_000)]
+    passage = [*clean[:9000], *["vile", "scum"] * 20, *clean[9000:]]
+    once = [*clean[:9000], *["vile", "scum"] * 4, *clean[9000:]]
+    texts = [" ".join(t) for t in (clean, passage, once, ["vile", "scum"], clean[:30])] + [""]
+
+    def plain(text):
+        w = text.split()
+        if not w:
+            return model.bias
+        logit = []
+        for a in range(0, len(w), toxicity.SEGMENT):
+            rows = toxicity.bags(next(text_blocks(pa.array([" ".join(w[a : a + toxicity.SEGMENT])]))))[0]
+            logit.append(model.weight[rows].mean() + model.bias)
+        runs = [min(logit[i : i + toxicity.RUN]) for i in range(len(logit) - toxicity.RUN + 1)]
+        return max(sorted(logit, reverse=True)[int(len(logit) * toxicity.SHARE)], *runs, -1e9)
+
+    got = np.concatenate([model.scores(b) for b in text_blocks(pa.array(texts), 1 << 16)])
+    assert got == pytest.approx(1 / (1 + np.exp(-np.array([plain(t) for t in texts]))), abs=1e-6)
+    assert got[1] > 0.9 and got[3] > 0.9 and got[0] < 0.5 and got[2] < 0.5
+
+
 def test_toxicity_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 1), (6, 1, 0), (10, 0, 0), (None, None, None), (3, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(edge_docs, labels)
