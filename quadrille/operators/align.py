@@ -167,5 +167,8 @@ def align(panels: list[Loaded], target: str) -> DataFrame:
                 out = left.join(to_periods(body, target, coordinate, ["__dim"], fields), ["__dim", TIME], "left").drop("__dim")
             else:
                 _warn_repeat(fields)
-                out = asof_join(left, body, coordinate, ["__dim"], fields, ties=TIME).drop("__dim")
+                # the few instants of each member of the dimension, not all entities that share it, are put in order
+                instants = left.select("__dim", q(TIME)).distinct()
+                found = asof_join(instants, body, coordinate, ["__dim"], fields, ties=TIME)
+                out = left.join(found, ["__dim", TIME], "left").drop("__dim")
     return out
