@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship
+from .common import frugal, ship
 
 MAX_STATES = 300_000
 MAX_PIECES = 600_000
@@ -275,7 +275,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -289,7 +289,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return encoded.select(id_col, ids_col).mapInArrow(frugal(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -315,5 +315,5 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

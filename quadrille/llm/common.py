@@ -7,12 +7,13 @@ the longest single text, and no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -179,6 +180,25 @@ class Index:
         return out
 
 
+#: Whole texts in an Arrow batch, unless the user has set their number: batches stand in the memory of both processes.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS_A_BATCH = 2000
+
+
+def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, after which its worker, which waits for other tasks, gives memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 #: Workers of these operators make many large arrays for a short time: their allocators are told to give memory back.
 WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20)}
 
@@ -192,6 +212,8 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     for name, value in WORKER_ENV.items():
         env.setdefault(name, value)
+    if spark.sparkContext.getConf().get(ARROW_ROWS) is None and spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, TEXTS_A_BATCH)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -233,13 +255,12 @@ def crc_mod(column: str, n: int):
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 200) -> Iterator[None]:
     """Fewer rows in an Arrow batch, for what is run inside: rows that may be large each."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def discard(df: DataFrame) -> None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, U, Block, Index, checkpoint, mix, ship, text_blocks, window_hashes, word_hashes, words
+from .common import LOWER, SPACE, U, Block, Index, checkpoint, frugal, mix, ship, text_blocks, window_hashes, word_hashes, words
 
 W = 8
 MIN_WORDS = 4
@@ -163,14 +163,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
     ship(spark)
     items = checkpoint(
         benchmark.selectExpr("cast(item_id as long) item_id", "text").distinct()
-        .mapInArrow(_item_task, "id long, hash long, pos long, slots array<long>, places array<long>, length long, n_words long")
+        .mapInArrow(frugal(_item_task), "id long, hash long, pos long, slots array<long>, places array<long>, length long, n_words long")
         .withColumnsRenamed({"id": "item_id", "pos": "item_pos", "slots": "item_slots"})
     )
     few = items.count() <= BROADCAST_WINDOWS
     hashes = np.asarray(items.select("hash").distinct().toArrow().column(0)).view(np.uint64) if few else None
     lengths = [r.length for r in items.select("length").distinct().collect()]
     shared = spark.sparkContext.broadcast((hashes, lengths))
-    hits = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_doc_task(shared), "id long, hash long, pos long, slots array<long>").withColumnRenamed("id", "doc_id")
+    hits = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(frugal(_doc_task(shared)), "id long, hash long, pos long, slots array<long>").withColumnRenamed("id", "doc_id")
     met = checkpoint(
         hits.join(items, "hash")
         .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "length", "n_words", "slots", "item_slots", "places")

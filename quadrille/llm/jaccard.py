@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, U, Block, bucket_of, checkpoint, compact, discard, if_small, mix, planes, release, ship, small_batches, stored, text_blocks, unplanes, window_hashes, word_hashes, words
+from .common import LOWER, U, Block, bucket_of, checkpoint, compact, discard, frugal, if_small, mix, planes, release, ship, small_batches, stored, text_blocks, unplanes, window_hashes, word_hashes, words
 
 #: Occurrences of one key within a task's block from which its rows are spread out.
 LOCAL_HOT = 8
@@ -471,7 +471,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = checkpoint(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).filter("a <> b").distinct())
     if e.count() <= EDGES_A_TASK:
         kind = e.schema["a"].dataType.simpleString()
-        return compact(e.coalesce(1).mapInArrow(_contract, f"node {kind}, root {kind}"))
+        return compact(e.coalesce(1).mapInArrow(frugal(_contract), f"node {kind}, root {kind}"))
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -513,17 +513,17 @@ def tiles(rows: DataFrame, payload: DataFrame, p: int, nearest: bool) -> DataFra
         rows.join(payload.select("node", "size", F.col("brief").alias("bits")), "node").withColumn("at", F.explode(place))
         .select("sig", F.col("at.tile").alias("tile"), F.col("at.side").alias("side"), "node", "label", "size", "bits")
         .repartition("sig", "tile").sortWithinPartitions("sig", "tile")
-        .mapInArrow(_tile_task(p, nearest), "x long, y long, more long")
+        .mapInArrow(frugal(_tile_task(p, nearest)), "x long, y long, more long")
     )
 
 
 def memberships(text: DataFrame, n: int, p: int, buckets: int) -> DataFrame:
     """(sig, node, centre) of the tiles that hold two nodes or more. A function of its own, so that nothing
     refers to its large exchange afterwards."""
-    keys = text.select("text").mapInArrow(_keys_task(n, p, buckets), "bucket long, keys binary")
+    keys = text.select("text").mapInArrow(frugal(_keys_task(n, p, buckets)), "bucket long, keys binary")
     dealt = keys.repartition("bucket").sortWithinPartitions("bucket")
     with small_batches(text.sparkSession, 256):
-        return stored(dealt.mapInArrow(_star_task, "sig long, node long, centre long"), "members", "zstd")
+        return stored(dealt.mapInArrow(frugal(_star_task), "sig long, node long, centre long"), "members", "zstd")
 
 
 def node_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -531,7 +531,7 @@ def node_sets(docs: DataFrame, n: int) -> DataFrame:
     ship(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with small_batches(docs.sparkSession, 1000):
-        return stored(text.mapInArrow(_sets_task(n), "doc_id long, n_shingles long, node long"), "sets")
+        return stored(text.mapInArrow(frugal(_sets_task(n)), "doc_id long, n_shingles long, node long"), "sets")
 
 
 def with_node(docs: DataFrame, n: int) -> DataFrame:
@@ -549,7 +549,7 @@ def with_node(docs: DataFrame, n: int) -> DataFrame:
             yield pa.record_batch([*batch.columns, pa.array(node[:, 0], mask=node[:, 1] == 0)], names=[*batch.schema.names, "_node"])
 
     kept = docs.select(docs.columns)
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("_node", LongType())]))
+    return kept.mapInArrow(frugal(run), StructType([*kept.schema.fields, StructField("_node", LongType())]))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
@@ -587,7 +587,7 @@ def node_components(docs: DataFrame, sets: DataFrame, n: int, p: int) -> DataFra
     if not active.filter("doc_id is null").isEmpty():
         texts = texts.unionByName(text.filter("doc_id is null").select("text"))
     with small_batches(spark):
-        payload = stored(texts.mapInArrow(_payload_task(n, p), "node long, size long, bits binary, brief binary, shingles binary"), "payload")
+        payload = stored(texts.mapInArrow(frugal(_payload_task(n, p)), "node long, size long, bits binary, brief binary, shingles binary"), "payload")
     if payload.count() > active.count():  # ids stand in several rows
         payload = stored(payload.join(if_small(active.select("node")), "node", "left_semi").dropDuplicates(["node"]), "payload")
 
@@ -601,11 +601,11 @@ def node_components(docs: DataFrame, sets: DataFrame, n: int, p: int) -> DataFra
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that link: folded bitmaps first, then whole ones, then the sets themselves."""
-        brief = joined(pairs, "size", "brief").mapInArrow(_screen_task(p), "x long, y long")
+        brief = joined(pairs, "size", "brief").mapInArrow(frugal(_screen_task(p)), "x long, y long")
         kept = compact(brief)
         with small_batches(spark):
-            kept = compact(joined(kept, "size", "bits").mapInArrow(_screen_task(p), "x long, y long"))
-            return compact(joined(kept, "shingles").mapInArrow(_exact_task(p), "x long, y long"))
+            kept = compact(joined(kept, "size", "bits").mapInArrow(frugal(_screen_task(p)), "x long, y long"))
+            return compact(joined(kept, "shingles").mapInArrow(frugal(_exact_task(p)), "x long, y long"))
 
     def apart(near: DataFrame, held: DataFrame) -> DataFrame:
         """(sig, node, label, main, all) of those tiles among `held` that still hold several components. The only

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, sample_ids, ship, text_blocks
+from .common import LOWER, frugal, sample_ids, ship, text_blocks
 
 SEGMENT = 512
 ALPHABET = 64
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> Da
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, phrases_per_byte double")
+    return docs.select(id_col, "text").mapInArrow(frugal(run), f"doc_id {kind}, lang_pred string, score double, phrases_per_byte double")
 
 
 def accepted(docs: DataFrame, model: Model | None, lang_col: str = "lang") -> DataFrame:
@@ -237,4 +237,4 @@ def accepted(docs: DataFrame, model: Model | None, lang_col: str = "lang") -> Da
             columns = [filled if i == to else batch.column(i) for i in range(batch.num_columns)]
             yield pa.record_batch(columns, names=batch.schema.names).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, Block, bucket_of, mix, planes, release, ship, small_batches, stored, text_blocks, unplanes, window_hashes, word_hashes, words
+from .common import LOWER, U, Block, bucket_of, frugal, mix, planes, release, ship, small_batches, stored, text_blocks, unplanes, window_hashes, word_hashes, words
 
 #: Pseudo-count of the shorter history in each state.
 MU = 4.0
@@ -261,7 +261,7 @@ def train(texts: DataFrame, order: int = 3) -> Counts:
     ship(texts.sparkSession)
     column = texts.columns[0]
     buckets = _buckets(texts, column)
-    return Counts(texts.select(column).mapInArrow(_count_task(order, buckets), ROW), order, buckets)
+    return Counts(texts.select(column).mapInArrow(frugal(_count_task(order, buckets)), ROW), order, buckets)
 
 
 def score(docs: DataFrame, counts: Counts, mu: float = MU) -> DataFrame:
@@ -278,7 +278,7 @@ def score_within(docs: DataFrame, trains: Column, order: int = 3, mu: float = MU
 def _scored(rows: DataFrame, counts: Counts, mu: float) -> DataFrame:
     spark = rows.sparkSession
     ship(spark)
-    texts = stored(rows.mapInArrow(_pack_task, "batch long, ids array<long>, trains array<boolean>, sizes array<long>, data binary"), "texts", "zstd")
+    texts = stored(rows.mapInArrow(frugal(_pack_task), "batch long, ids array<long>, trains array<boolean>, sizes array<long>, data binary"), "texts", "zstd")
     parts = []
     for part in range(SLICES):
         parts.append(_answers(texts, counts, part))
@@ -297,10 +297,10 @@ def _scored(rows: DataFrame, counts: Counts, mu: float) -> DataFrame:
 def _answers(texts: DataFrame, counts: Counts, part: int) -> DataFrame:
     """(batch, bucket, data, tokens, types) of a part, stored. A function of its own, so that nothing refers to its exchange afterwards."""
     spark = texts.sparkSession
-    rows = texts.select("batch", "trains", "sizes", "data").mapInArrow(_request_task(counts.order, counts.buckets, part), ROW)
+    rows = texts.select("batch", "trains", "sizes", "data").mapInArrow(frugal(_request_task(counts.order, counts.buckets, part)), ROW)
     if counts.rows is not None:
         low, high = (k * counts.buckets // SLICES for k in (part, part + 1))
         rows = rows.unionByName(counts.rows.filter((F.col("bucket") >= low) & (F.col("bucket") < high)))
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
     with small_batches(spark, 256):
-        return stored(dealt.mapInArrow(_answer_task, "batch long, bucket long, data binary, tokens long, types long"), "answers", "zstd")
+        return stored(dealt.mapInArrow(frugal(_answer_task), "batch long, bucket long, data binary, tokens long, types long"), "answers", "zstd")

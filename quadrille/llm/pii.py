@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_ids, ship
+from .common import frugal, sample_ids, ship
 
 KINDS = ["email", "ip", "card", "phone"]
 SURE = 0.95
@@ -352,7 +352,7 @@ def detect(docs: DataFrame, field: Field | None) -> DataFrame:
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
+        frugal(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
     )
 
 
@@ -376,4 +376,4 @@ def redact(docs: DataFrame, field: Field | None) -> DataFrame:
                 columns = [pa.array(clean, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
                 yield pa.record_batch(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

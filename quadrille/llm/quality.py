@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Block, sample_ids, ship, text_blocks, window_hashes, word_hashes, words
+from .common import SPACE, Block, frugal, sample_ids, ship, text_blocks, window_hashes, word_hashes, words
 
 # The characters that count as symbols.
 SYMBOLS = np.zeros(256, bool)
@@ -219,7 +219,7 @@ def measure(docs: DataFrame, model: Trees | None, keep: list[str] | tuple = ())
 
     kinds = "".join(f"{k} {docs.schema[k].dataType.simpleString()}, " for k in keep)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}" + ", ".join(f"{k} long" for k in BASE)
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, schema + ", features array<double>, probability double")
+    return docs.select("doc_id", "text", *keep).mapInArrow(frugal(run), schema + ", features array<double>, probability double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 6000) -> DataFrame:

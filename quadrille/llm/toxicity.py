@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, Block, mix, sample_ids, ship, text_blocks, word_hashes, words
+from .common import LOWER, U, Block, frugal, mix, sample_ids, ship, text_blocks, word_hashes, words
 
 SEGMENT = 8
 #: A text scores as the segment at this share from its most toxic one.
@@ -258,4 +258,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate([np.zeros(0), *parts]))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, score double")

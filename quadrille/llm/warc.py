@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, if_small, new_path, ship, stored
+from .common import checkpoint, frugal, if_small, new_path, ship, stored
 from .jaccard import components
 
 #: Shared digests that may be broadcast; beyond it pages are joined with them.
@@ -222,7 +222,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
 
     gzipped = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path).select(F.col("_metadata.file_path"), F.col("value").cast("binary"))
     plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select("content")
-    return gzipped.mapInArrow(streamed, RECORD).unionByName(plain.mapInArrow(whole, RECORD))
+    return gzipped.mapInArrow(frugal(streamed), RECORD).unionByName(plain.mapInArrow(frugal(whole), RECORD))
 
 
 def assemble(records: DataFrame) -> DataFrame:
