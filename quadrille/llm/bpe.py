@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import frugal, ship
+from .common import frugal, ship, worker_cache
 
 MAX_STATES = 300_000
 MAX_PIECES = 600_000
@@ -246,13 +246,17 @@ class Codec:
 
 
 def shared_codec(spark: SparkSession, path: str, pattern: str) -> Callable[[], Codec]:
-    """What makes a task's codec: ranks are read by the driver and broadcast; states and pieces live as long as the task."""
+    """What gives a task its codec: ranks are read by the driver and broadcast; states and pieces live in a worker until
+    it has a task of another operator."""
     ship(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(path))
 
     def make() -> Codec:
         gc.set_threshold(200_000, 50, 100)  # states and pieces hold no cycles, so full collections are made rare
-        return Codec(ranks.value, pattern)
+        key = ("codec", path, pattern)
+        if key not in worker_cache:
+            worker_cache[key] = Codec(ranks.value, pattern)
+        return worker_cache[key]
 
     return make
 
@@ -275,7 +279,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(frugal(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(frugal(run, keeps=True), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -289,7 +293,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(frugal(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return encoded.select(id_col, ids_col).mapInArrow(frugal(run, keeps=True), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -315,5 +319,5 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        frugal(run, keeps=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

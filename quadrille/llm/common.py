@@ -185,10 +185,17 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXTS_A_BATCH = 2000
 
 
-def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The task, after which its worker, which waits for other tasks, gives memory back."""
+#: What a worker keeps from one task to the next of the same operator.
+worker_cache: dict = {}
+
+
+def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, after which its worker, which waits for other tasks, gives memory back; what an operator that
+    keeps a cache has left in the worker goes when another operator's task begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            worker_cache.clear()
         try:
             yield from task(batches)
         finally:
