@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import frugal, ship, worker_cache
+from .common import frugal, kept, ship
 
 MAX_STATES = 300_000
 MAX_PIECES = 600_000
@@ -253,10 +253,7 @@ def shared_codec(spark: SparkSession, path: str, pattern: str) -> Callable[[], C
 
     def make() -> Codec:
         gc.set_threshold(200_000, 50, 100)  # states and pieces hold no cycles, so full collections are made rare
-        key = ("codec", path, pattern)
-        if key not in worker_cache:
-            worker_cache[key] = Codec(ranks.value, pattern)
-        return worker_cache[key]
+        return kept(("codec", path, pattern), lambda: Codec(ranks.value, pattern))
 
     return make
 

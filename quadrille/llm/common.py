@@ -185,8 +185,20 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXTS_A_BATCH = 2000
 
 
-#: What a worker keeps from one task to the next of the same operator.
-worker_cache: dict = {}
+#: What a worker keeps from one task to the next of the same operator. Only functions of this module may touch it: tasks
+#: travel with copies of the globals that they name.
+_kept: dict = {}
+
+
+def kept(key: tuple, build: Callable[[], object]) -> object:
+    """What this worker has under the key, built if it has not."""
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
+def forget() -> None:
+    _kept.clear()
 
 
 def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -195,7 +207,7 @@ def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
-            worker_cache.clear()
+            forget()
         try:
             yield from task(batches)
         finally:
