@@ -83,31 +83,41 @@ class ParquetStore(ViewStore):
     def _fs(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def manifest(self, name: str) -> Manifest | None:
-        at = self._path(checked(name), "manifest.json")
-        if not self._fs().exists(at):
-            return None
-        raw = json.loads(self.spark.read.text(at.toString(), wholetext=True).first()[0])
+    def _manifests(self, name: str) -> list[str]:
+        """File names of the view's manifests, in the order in which they were written."""
+        fs, at = self._fs(), self._path(checked(name))
+        found = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in found if n.startswith("manifest-") and n.endswith(".json"))
+
+    def _parsed(self, name: str, file: str) -> Manifest:
+        raw = json.loads(self.spark.read.text(self._path(name, file).toString(), wholetext=True).first()[0])
         return Manifest(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
 
+    def manifest(self, name: str) -> Manifest | None:
+        files = self._manifests(name)
+        return self._parsed(name, files[-1]) if files else None
+
     def read(self, name: str) -> DataFrame | None:
         m = self.manifest(name)
         return None if m is None else self.spark.read.parquet(f"{self.dir}/{name}/{m.version}")
 
     def write(self, name: str, frame: DataFrame, manifest: Manifest) -> Manifest:
-        old = self.manifest(name)
+        """A new version counts from the moment its manifest has its name. The version before it stays for those who
+        are reading it; what is older is deleted."""
         version = uuid.uuid4().hex
         frame.write.parquet(f"{self.dir}/{checked(name)}/{version}")
         done = Manifest(**(asdict(manifest) | {"version": version}))
+        files = self._manifests(name)
+        number = int(files[-1].split("-")[1]) + 1 if files else 0
         fs, text = self._fs(), json.dumps(asdict(done))
-        draft, final = self._path(name, f"manifest.{version}"), self._path(name, "manifest.json")
+        draft = self._path(name, f"draft-{version}")
         out = fs.create(draft, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(final, False)
-        fs.rename(draft, final)
-        if old is not None:
-            fs.delete(self._path(name, old.version), True)
+        fs.rename(draft, self._path(name, f"manifest-{number:012d}-{version}.json"))
+        for file in files[:-1]:
+            fs.delete(self._path(name, file.removesuffix(".json").split("-")[2]), True)
+            fs.delete(self._path(name, file), False)
         return done
 
     def delete(self, name: str) -> bool:

@@ -136,6 +136,25 @@ def test_store(spark, tmp_path):
             s.manifest(bad)
 
 
+def test_store_keeps_what_is_being_read(spark, tmp_path):
+    """A version is there until the next but one, and a draft that was never named counts for nothing."""
+    from quadrille.streaming.store import Manifest
+
+    s = ParquetStore(spark, {"dir": f"file://{tmp_path}/v"})
+    reset()
+    m, p = manager(spark, tmp_path), prepare("track signal s = cumsum(income.revenue)")
+    m.serve(p.named("s"), p)
+    some = m.store.manifest("s")
+    assert isinstance(some, Manifest)
+    s.write("x", spark.range(1), some)
+    first = s.read("x")
+    s.write("x", spark.range(2), some)
+    assert first.count() == 1 and s.read("x").count() == 2
+    (tmp_path / "v" / "x" / "draft-dead").write_text("{")
+    s.write("x", spark.range(3), some)
+    assert s.read("x").count() == 3 and len(s._manifests("x")) == 2 and s.list() == ["x"]
+
+
 def test_follow_a_stream(spark, tmp_path):
     from quadrille.streaming.views import follow
 
