@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import frugal, kept, ship
 
-MAX_STATES = 300_000
-MAX_PIECES = 600_000
+MAX_STATES = 120_000
+MAX_PIECES = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
