@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -29,7 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import frugal, kept, ship
 
 MAX_STATES = 120_000
-MAX_PIECES = 300_000
+MAX_PIECES = 150_000
+MAX_PAIRS = 300_000
+#: Places for marks of pieces met once; two pieces that share one are only remembered sooner.
+MET = 1 << 22
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,8 +44,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """bytes of one piece -> token ids."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
+        self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.packed = {r: r.to_bytes(4, "little") for r in ranks.values()}
         # a trie of the vocabulary: node * 256 + byte -> node, and the token that ends at a node
@@ -61,8 +65,11 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        self._ids: dict[tuple, int] = {}
-        self._states: list[tuple] = []
+        self._ids: dict[bytes, int] = {}
+        self._states: list[bytes] = []
+        self._heads: list[int] = []
+        self._sizes = array("I")
+        self._ends: list[bytes] = []
         self._arcs: dict[int, list] = {}
         self._state(((0, 0, ()),), 0)
 
@@ -89,32 +96,54 @@ class Transducer:
     def _adjacent(self, a: int, b: int) -> bool:
         known = self._pairs.get(a << 32 | b)
         if known is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) >= MAX_PAIRS:
                 self._pairs.clear()
             known = self._pairs[a << 32 | b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
     def _state(self, live: tuple, size: int) -> int:
         """live: the positions of the pending bytes where a token may start, each with its node of
-        the trie and the encoding up to it as (end, token) pairs; size: how many bytes are pending."""
-        known = self._ids.get(live)
+        the trie and the encoding up to it as (end, token) pairs; size: how many bytes are pending.
+        States are many and opened when an arc is made only, so they are kept as packed numbers."""
+        flat = array("I")
+        for start, node, chain in live:
+            flat.extend((start, node, len(chain)))
+            for link in chain:
+                flat.extend(link)
+        key = flat.tobytes()
+        known = self._ids.get(key)
         if known is None:
-            known = self._ids[live] = len(self._states)
-            self._states.append((live, size))
+            known = self._ids[key] = len(self._states)
+            self._states.append(key)
+            self._heads.append(live[0][1] if live[0][0] == 0 else -1)
+            self._sizes.append(size)
+            # the last live position is the end of what is pending
+            self._ends.append(b"".join([self.packed[t] for _, t in live[-1][2]]))
         return known
 
+    def _opened(self, state: int) -> tuple[list[tuple], int]:
+        """(live, size) of a state."""
+        flat = array("I", self._states[state])
+        live, at = [], 0
+        while at < len(flat):
+            start, node, links = flat[at : at + 3]
+            at += 3
+            live.append((start, node, tuple([(flat[k], flat[k + 1]) for k in range(at, at + 2 * links, 2)])))
+            at += 2 * links
+        return live, self._sizes[state]
+
     def _entry(self, state: int, byte: int) -> list:
         """[the token from the first pending byte to this one or -1, arc if it may follow the last
         emitted token, arc otherwise]; arcs are made when first taken."""
-        start, node, _ = self._states[state][0][0]
-        to = self.trie.get(node << 8 | byte) if start == 0 else None
+        node = self._heads[state]  # of a token from the first pending byte, -1 if none goes on
+        to = self.trie.get(node << 8 | byte) if node >= 0 else None
         token = self.token_at[to] if to is not None else -1
         entry = self._arcs[state << 8 | byte] = [token if token >= 0 and self._reached(token) else -1, None, None]
         return entry
 
     def _arc(self, state: int, byte: int, first: int) -> tuple[int, bytes, int]:
         """(next state, ids to emit, last of them or -1); first: the token of the entry, -1 if it may not end here."""
-        live, size = self._states[state]
+        live, size = self._opened(state)
         n = size + 1
         still = []
         ending = None
@@ -152,7 +181,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return self.packed[whole]
-        if len(self._states) > MAX_STATES:
+        if len(self._states) > self.max_states:
             self._clear()
         state, last, out, arcs = 0, -1, b"", self._arcs.get
         for byte in piece:
@@ -170,25 +199,30 @@ class Transducer:
             if emitted >= 0:
                 out += said
                 last = emitted
-        # the last live position is the end of what is pending
-        return out + b"".join([self.packed[t] for _, t in self._states[state][0][-1][2]])
+        return out + self._ends[state]
 
 
 class Pieces(dict):
-    """Encoded pieces by text, in two generations: when the young one is full it becomes the old."""
+    """Encoded pieces by text, from the second time that they are met (most are met once), in two generations:
+    when the young one is full it becomes the old."""
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, transducer: Transducer, most: int = MAX_PIECES):
         super().__init__()
-        self.transducer, self.old = transducer, {}
+        self.transducer, self.most, self.old, self.met = transducer, most, {}, bytearray(MET)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             ids = self.transducer.encode(piece.encode())
+            at = hash(piece) % MET
+            if not self.met[at]:
+                self.met[at] = 1
+                return ids
         if len(piece) <= 64:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
+                self.met = bytearray(MET)
             self[piece] = ids
         return ids
 
@@ -222,10 +256,10 @@ class Utf8Machine:
 class Codec:
     """Encoder and streaming decoder of one rank file and splitting pattern."""
 
-    def __init__(self, ranks: str | dict[bytes, int], pattern: str):
-        """ranks: a table, or the path of its file."""
-        self.transducer = Transducer(load_ranks(ranks) if isinstance(ranks, str) else ranks)
-        self.pieces = Pieces(self.transducer)
+    def __init__(self, ranks: str | dict[bytes, int], pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES):
+        """ranks: a table, or the path of its file. The bounds are of memory; they change speed only."""
+        self.transducer = Transducer(load_ranks(ranks) if isinstance(ranks, str) else ranks, max_states)
+        self.pieces = Pieces(self.transducer, max_pieces)
         self.split = regex.compile(pattern).findall
 
     def encode(self, text: str | None) -> bytes:
@@ -245,7 +279,7 @@ class Codec:
         yield machine.close()
 
 
-def shared_codec(spark: SparkSession, path: str, pattern: str) -> Callable[[], Codec]:
+def shared_codec(spark: SparkSession, path: str, pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> Callable[[], Codec]:
     """What gives a task its codec: ranks are read by the driver and broadcast; states and pieces live in a worker until
     it has a task of another operator."""
     ship(spark)
@@ -253,7 +287,7 @@ def shared_codec(spark: SparkSession, path: str, pattern: str) -> Callable[[], C
 
     def make() -> Codec:
         gc.set_threshold(200_000, 50, 100)  # states and pieces hold no cycles, so full collections are made rare
-        return kept(("codec", path, pattern), lambda: Codec(ranks.value, pattern))
+        return kept(("codec", path, pattern, max_states, max_pieces), lambda: Codec(ranks.value, pattern, max_states, max_pieces))
 
     return make
 
@@ -263,9 +297,11 @@ def _texts(column: pa.Array) -> Iterator[str | None]:
         yield from column.slice(a, 256).to_pylist()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES
+) -> DataFrame:
     """(id, ids array<int>) of each row."""
-    make = shared_codec(docs.sparkSession, path, pattern)
+    make = shared_codec(docs.sparkSession, path, pattern, max_states, max_pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = make()
