@@ -58,9 +58,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text. Executors still hold what earlier stages made them allocate, so that workers get a
-    third of the usual tables; that changes speed only."""
-    return bpe.encode(docs, *tokenizer(), max_states=bpe.MAX_STATES // 3, max_pieces=bpe.MAX_PIECES // 3).withColumn("n_tokens", F.size("ids").cast("long"))
+    """Token ids of every text. Executors still hold what earlier stages made them allocate, so that workers get
+    small tables; that changes speed only."""
+    return bpe.encode(docs, *tokenizer(), max_states=40_000, max_pieces=50_000).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
