@@ -185,6 +185,17 @@ def test_long_pieces(tokenizer):
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == other.encode_ordinary(text)
 
 
+def test_bounds_change_no_id(tokenizer):
+    """Tables so small that they are dropped again and again, over words that come back."""
+    small, other = bpe.Codec(*queries.tokenizer(), max_states=30, max_pieces=10), tokenizer[1]
+    rng = np.random.default_rng(5)
+    made = ["".join(rng.choice(list("aeinstrlöß"), rng.integers(3, 14))) for _ in range(150)]
+    for _ in range(40):
+        text = " ".join(rng.choice(made, 60))
+        assert np.frombuffer(small.encode(text), "<u4").tolist() == other.encode_ordinary(text)
+    assert small.pieces.old and len(small.pieces) <= 10
+
+
 @given(st.binary(max_size=40), st.lists(st.integers(0, 40), max_size=6))
 def test_utf8_machine(data, cuts):
     text = data.decode("utf-8", "replace").encode()
