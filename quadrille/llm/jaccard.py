@@ -6,11 +6,12 @@ in one band or in neighbours. Within a band sets that link differ in at most k
 shingles; shingles are hashed into k + 1 + e parts, so more than e parts agree and,
 unless a set leaves more than e parts empty, one of them is not empty. The content of
 a part is the key of a tile. Sets with more than e empty parts also meet through pairs
-of empty parts. Tiles first link each member to one centre, then to a few others (linear
-each time); only where that leaves a tile in several components are members of different
-components compared, block by block: parity bitmaps bound the overlap from above (each differing bit needs
-a shingle in one set only), and what survives is decided by exact intersection of
-the sorted arrays.
+of empty parts. Tiles first link each member to one centre (linear). Those that this leaves in several
+components are gathered into groups: like sets share most of their tiles, and a group holds each of
+them once instead of once a tile. Large groups link their members to a few further centres (linear each time); only where
+that leaves a group in several components are members of different components compared, block by block: parity
+bitmaps bound the overlap from above (each differing bit needs a shingle in one set only), and what survives is
+decided by exact intersection of the sorted arrays.
 
 Keys travel packed: a task sorts what it holds and sends, for each range of keys (a bucket), one blob of key
 differences and positions in a list of nodes, a third of the bytes of single rows. Buckets are as many as their
@@ -42,14 +43,16 @@ from .common import LOWER, U, Block, bucket_of, checkpoint, compact, discard, fr
 
 #: Occurrences of one key within a task's block from which its rows are spread out.
 LOCAL_HOT = 8
-#: Rounds of further centres; what they leave apart is compared in tiles.
+#: Rounds of further centres in groups of more than CROWD members; what they leave apart is compared, as are smaller groups.
 CENTRES = 5
+CROWD = 64
 #: Distinct edges that one task may contract.
 EDGES_A_TASK = 500_000
-#: Rows of a block in one tile comparison, and 64-bit words of the folded bitmaps that travel with them; pairs
-#: that these let pass meet the whole bitmaps before their sets are fetched.
+#: Members of a group that are compared as one block.
 TILE = 512
-BRIEF = 16
+#: Least and most 64-bit words of the folded bitmaps that travel with members. Half as wide as the whole ones, they tell large
+#: sets apart too; pairs that they let pass meet the whole bitmaps before their sets are fetched.
+BRIEF, WIDE = 16, 512
 #: (key, node) rows held in a task before they are pre-aggregated and sent, and rows that a bucket should have.
 HELD_ROWS = 1 << 20
 BUCKET_ROWS = 1 << 20
@@ -363,7 +366,7 @@ def _payload_task(n: int, p: int):
                         _signed(node_of(sets)),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([x.tobytes() for x in bits], pa.binary()),
-                        pa.array([fold(x, BRIEF).tobytes() for x in bits], pa.binary()),
+                        pa.array([fold(x, min(max(BRIEF, len(x) // 2), WIDE)).tobytes() for x in bits], pa.binary()),
                         pa.array([x.tobytes() for x in sets], pa.binary()),
                     ],
                     names=["node", "size", "bits", "brief", "shingles"],
@@ -395,18 +398,23 @@ def _exact_task(p: int):
 
 
 def _tile_task(p: int, nearest: bool):
-    """Sorted rows of tiles: pairs (x, y) of different components, one of them from the left side, that may
+    """Sorted rows of groups: pairs (x, y) of different components, one of them from the left side, that may
     link. nearest: for each row only the other whose bitmap differs least; `more` says that there were others."""
 
     def pairs(side: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, bits: list[np.ndarray]):
-        width = min(len(b) for b in bits)
-        flat = np.stack([fold(b, width) for b in bits])
+        width = np.array([len(b) for b in bits])
+        # of each width that occurs: the bitmaps as wide or wider, folded to it, and where each stands
+        flat = {w: (np.stack([fold(b, w) for b in bits if len(b) >= w]), np.cumsum(width >= w) - 1) for w in np.unique(width).tolist()}
         left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
         for i in left:
             j = right[label[right] != label[i]]
             j = j[(100 * np.minimum(size[j], size[i]) >= p * np.maximum(size[j], size[i]))]
             if len(j):
-                differ = np.bitwise_count(flat[j] ^ flat[i]).sum(axis=1, dtype=np.int64)
+                both, differ = np.minimum(width[j], width[i]), np.zeros(len(j), np.int64)
+                for w, (x, place) in flat.items():
+                    at = both == w
+                    if at.any():
+                        differ[at] = np.bitwise_count(x[place[j[at]]] ^ x[place[i]]).sum(axis=1, dtype=np.int64)
                 near = (100 + p) * differ <= (100 - p) * (size[j] + size[i])
                 j, differ = j[near], differ[near]
                 more = nearest and len(j) > 1
@@ -492,11 +500,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def tiles(rows: DataFrame, payload: DataFrame, p: int, nearest: bool) -> DataFrame:
-    """(x, y, more): pairs of nodes of one key but different components whose bitmaps allow a link; more is
-    the key where a node had further candidates that were left out.
+    """(x, y, more): pairs of nodes of one group but different components whose bitmaps allow a link; more is
+    the group where a node had further candidates that were left out.
 
-    Rows are (sig, node, label, main, all). Only nodes outside a key's main component are compared with the
-    others: blocks of TILE nodes meet each block of the key once, and most keys are one block.
+    Rows are (sig, node, label, main, all). Only nodes outside a group's main component are compared with the
+    others: blocks of nodes meet each block of the group once, and most groups are one block.
     """
     blocks = F.ceil(F.col("all") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
@@ -608,12 +616,19 @@ def node_components(docs: DataFrame, sets: DataFrame, n: int, p: int) -> DataFra
             return compact(joined(kept, "shingles").mapInArrow(frugal(_exact_task(p)), "x long, y long"))
 
     def apart(near: DataFrame, held: DataFrame) -> DataFrame:
-        """(sig, node, label, main, all) of those tiles among `held` that still hold several components. The only
-        pair of a tile of two is that of a member and its centre, which has been compared."""
+        """(sig, node, label, main, all) of those tiles or groups among `held` that still hold several components. The
+        only pair of a tile of two is that of a member and its centre, which has been compared. Those that have
+        the same member of least hash become one group, called by it; groups have different ones, and stay."""
         label = components(near)
         rows = held.select("sig", "node").join(if_small(label), "node", "left").select("sig", "node", F.coalesce("root", "node").alias("label"))
-        ends = rows.groupBy("sig").agg(F.min("label").alias("main"), F.max("label").alias("other"), F.count("*").alias("all"))
-        out = stored(rows.join(ends.filter("main <> other and all > 2").drop("other"), "sig"), "apart")
+        ends = rows.groupBy("sig").agg(
+            F.min("label").alias("main"), F.max("label").alias("other"), F.count("*").alias("all"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("home")
+        )
+        kept = rows.join(ends.filter("main <> other and all > 2").select("sig", "home"), "sig")
+        group = stored(kept.select(F.col("home").alias("sig"), "node", "label").distinct(), "group")
+        ends = group.groupBy("sig").agg(F.min("label").alias("main"), F.count("*").alias("all"))
+        out = stored(group.join(if_small(ends), "sig"), "apart")
+        discard(group)
         release(spark)
         return out
 
@@ -623,14 +638,15 @@ def node_components(docs: DataFrame, sets: DataFrame, n: int, p: int) -> DataFra
     discard(members)
     for turn in range(CENTRES):
         # another centre for what is still apart: linear, and most of a large group falls together
-        centre = rows.groupBy("sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("c"))
-        pairs = rows.join(centre, "sig").filter("label <> c.label").select(
+        large = rows.filter(F.col("all") > CROWD)
+        centre = large.groupBy("sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("c"))
+        pairs = large.join(centre, "sig").filter("label <> c.label").select(
             F.least("node", "c.node").alias("x"), F.greatest("node", "c.node").alias("y")
         )
         pairs = compact(pairs.distinct().join(tested, ["x", "y"], "left_anti"))
         found = linked(pairs)
         near, tested = near.unionByName(found), tested.unionByName(pairs)
-        poor = found.count() * 20 < pairs.count()
+        poor = found.count() * 20 <= pairs.count()
         if not poor:
             before, rows = rows, apart(near, rows)
             discard(before)
@@ -638,10 +654,10 @@ def node_components(docs: DataFrame, sets: DataFrame, n: int, p: int) -> DataFra
             break
     # the nearest of each node first; then, where a node had others, all that are still apart
     more = compact(tiles(rows, payload, p, True))
-    near = near.unionByName(linked(more.select("x", "y").distinct().join(tested, ["x", "y"], "left_anti")))
+    near = near.unionByName(linked(compact(more.select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))))
     open_ = more.filter("more is not null").select(F.col("more").alias("sig")).distinct()
     left = apart(near, rows.join(open_, "sig", "left_semi"))
     tested = tested.unionByName(more.select("x", "y").distinct())
-    last = tiles(left, payload, p, False).select("x", "y").distinct().join(tested, ["x", "y"], "left_anti")
+    last = compact(tiles(left, payload, p, False).select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))
     near = near.unionByName(linked(last))
     return components(near)

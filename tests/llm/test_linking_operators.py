@@ -81,6 +81,40 @@ def test_chains_in_a_large_group(spark, monkeypatch):
     assert got == plain_components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("crowd", [4, 64])
+def test_pairs_of_many_tiles_come_once(spark, monkeypatch, crowd):
+    """Copies a little too far apart share many tiles; a pair of them is a candidate of few groups."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    rows = [(i, " ".join(f"u{k}" if k % 17 == i else f"w{k}" for k in range(289))) for i in range(17)]  # any two: 68 words differ, 64 may
+    seen = []
+
+    def counted(*given, plain=jaccard.tiles):
+        out = plain(*given)
+        seen.append((out.count(), out.select("x", "y").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "tiles", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 1, 80).collect()}
+    assert got == plain_components(rows, 1, 80)
+    assert sum(b for _, b in seen) > 30 and all(a <= 6 * b for a, b in seen), seen
+
+
+def test_brief_bitmaps_of_large_sets():
+    """Folded bitmaps tell large sets that have nothing in common apart, and one that has few bits hides no others."""
+    texts = [" ".join(f"{c}{i}" for i in range(5000)) for c in "ab"]
+    out = next(jaccard._payload_task(5, 80)(iter([pa.record_batch([pa.array(texts)], names=["text"])])))
+    size, brief = out.column(1).to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in out.column(3)]
+    assert not jaccard.may_link(size[0], brief[0], size[1], brief[1], 80)
+
+    sets = [np.arange(1, 2001, dtype=np.uint64) * np.uint64(7919) + np.uint64(i * 10**9) for i in range(2)] + [np.arange(1, 1700, dtype=np.uint64)]
+    bits = [jaccard.bitmap(x, 80) for x in sets]
+    columns = {"sig": [5] * 4, "tile": [0] * 4, "side": [3] * 4, "node": [1, 2, 3, 4], "label": [1, 2, 3, 4], "size": [2000, 2000, 1699, 2000]}
+    table = pa.record_batch([*(pa.array(x) for x in columns.values()), pa.array([x.tobytes() for x in (bits[0], bits[1], jaccard.fold(bits[2], 1), bits[0])], pa.binary())], names=[*columns, "bits"])
+    found = {(x, y) for b in jaccard._tile_task(80, False)(iter([table])) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert (1, 4) in found and not found & {(1, 2), (2, 4)}
+
+
 def test_without_broadcasts(spark, monkeypatch):
     from quadrille.llm import common
 
