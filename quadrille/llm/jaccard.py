@@ -48,8 +48,8 @@ CENTRES = 5
 CROWD = 64
 #: Distinct edges that one task may contract.
 EDGES_A_TASK = 500_000
-#: Members of a group that are compared as one block.
-TILE = 512
+#: Members of a group that are compared as one block; blocks of larger groups grow with the square root.
+TILE = 4096
 #: Least and most 64-bit words of the folded bitmaps that travel with members. Half as wide as the whole ones, they tell large
 #: sets apart too; pairs that they let pass meet the whole bitmaps before their sets are fetched.
 BRIEF, WIDE = 16, 512
@@ -506,7 +506,7 @@ def tiles(rows: DataFrame, payload: DataFrame, p: int, nearest: bool) -> DataFra
     Rows are (sig, node, label, main, all). Only nodes outside a group's main component are compared with the
     others: blocks of nodes meet each block of the group once, and most groups are one block.
     """
-    blocks = F.ceil(F.col("all") / TILE).cast("int")
+    blocks = F.ceil(F.sqrt(F.col("all") / TILE)).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
     side = F.when(F.col("label") != F.col("main"), 1).otherwise(0)
     each = F.sequence(F.lit(0), blocks - 1)

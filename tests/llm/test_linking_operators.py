@@ -115,6 +115,23 @@ def test_brief_bitmaps_of_large_sets():
     assert (1, 4) in found and not found & {(1, 2), (2, 4)}
 
 
+def test_rows_of_a_large_group(spark, monkeypatch):
+    """Rows dealt out for a group of many blocks grow less than with its square, and all pairs of components meet."""
+    monkeypatch.setattr(jaccard, "TILE", 4)
+
+    def dealt(members):
+        rows = spark.createDataFrame([(1, i, i, 0, members) for i in range(members)], "sig long, node long, label long, main long, all long")
+        bits = spark.createDataFrame([(i, 100, bytes(8)) for i in range(members)], "node long, size long, brief binary")
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, "_tile_task", lambda p, nearest: lambda batches: (pa.record_batch([pa.array([b.num_rows]), pa.array([0]), pa.array([0])], names=["x", "y", "more"]) for b in batches))
+            count = sum(r.x for r in jaccard.tiles(rows, bits, 90, False).collect())
+        return count, {(r.x, r.y) for r in jaccard.tiles(rows, bits, 90, False).collect()}
+
+    (few, _), (many, pairs) = dealt(16), dealt(256)
+    assert many <= 80 * few, (few, many)
+    assert pairs == {(i, j) for j in range(256) for i in range(j)}
+
+
 def test_without_broadcasts(spark, monkeypatch):
     from quadrille.llm import common
 
