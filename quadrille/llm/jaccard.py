@@ -11,7 +11,8 @@ components are gathered into groups: like sets share most of their tiles, and a
 them once instead of once a tile. Large groups link their members to a few further centres (linear each time); only where
 that leaves a group in several components are members of different components compared, block by block: parity
 bitmaps bound the overlap from above (each differing bit needs a shingle in one set only), and what survives is
-decided by exact intersection of the sorted arrays.
+decided by exact intersection of the sorted arrays. Bitmaps of all members are stored; sets, which are many times
+larger, are made again from the texts of those few members that have a surviving pair.
 
 Keys travel packed: a task sorts what it holds and sends, for each range of keys (a bucket), one blob of key
 differences and positions in a list of nodes, a third of the bytes of single rows. Buckets are as many as their
@@ -367,14 +368,23 @@ def _payload_task(n: int, p: int):
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([x.tobytes() for x in bits], pa.binary()),
                         pa.array([fold(x, min(max(BRIEF, len(x) // 2), WIDE)).tobytes() for x in bits], pa.binary()),
-                        pa.array([x.tobytes() for x in sets], pa.binary()),
                     ],
-                    names=["node", "size", "bits", "brief", "shingles"],
+                    names=["node", "size", "bits", "brief"],
                 )
 
     return run
 
 
+def _shingles_task(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch.column(0)):
+                sets = shingle_sets(block, n)
+                yield pa.record_batch([_signed(node_of(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
 def _screen_task(p: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -589,31 +599,50 @@ def node_components(docs: DataFrame, sets: DataFrame, n: int, p: int) -> DataFra
         star.select(F.col("x").alias("node")).union(star.select(F.col("y").alias("node"))).distinct()
         .join(first, "node").select(F.col("rep").alias("doc_id"), "node")
     )
-    # rows of the active nodes' first ids, and those without an id; what else these rows hold is left out by its node
-    ids = active.filter("doc_id is not null").select("doc_id").distinct()
-    texts = text.join(if_small(ids), "doc_id", "left_semi").select("text")
-    if not active.filter("doc_id is null").isEmpty():
-        texts = texts.unionByName(text.filter("doc_id is null").select("text"))
+
+    def texts(at: DataFrame) -> DataFrame:
+        """Rows of the first ids of these active nodes, and those without an id; what else the rows hold is left out by its node."""
+        ids = at.filter("doc_id is not null").select("doc_id").distinct()
+        found = text.join(if_small(ids), "doc_id", "left_semi").select("text")
+        if not at.filter("doc_id is null").isEmpty():
+            found = found.unionByName(text.filter("doc_id is null").select("text"))
+        return found
+
     with small_batches(spark):
-        payload = stored(texts.mapInArrow(frugal(_payload_task(n, p)), "node long, size long, bits binary, brief binary, shingles binary"), "payload")
-    if payload.count() > active.count():  # ids stand in several rows
+        payload = stored(texts(active).mapInArrow(frugal(_payload_task(n, p)), "node long, size long, bits binary, brief binary"), "payload")
+    repeated = payload.count() > active.count()  # ids stand in several rows
+    if repeated:
         payload = stored(payload.join(if_small(active.select("node")), "node", "left_semi").dropDuplicates(["node"]), "payload")
 
-    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
-        # only what the pairs need is exchanged
-        used = if_small(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct())
-        body = payload.select("node", *columns).join(used, "node", "left_semi")
+    def ends(pairs: DataFrame) -> DataFrame:
+        return if_small(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct())
+
+    def joined(pairs: DataFrame, body: DataFrame) -> DataFrame:
+        columns = [k for k in body.columns if k != "node"]
         side = lambda c: body.select(F.col("node").alias(c), *[F.col(k).alias(k + c) for k in columns])
         both = [k + c for c in "xy" for k in columns]
         return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", *both)
 
+    def screened(pairs: DataFrame, bits: str) -> DataFrame:
+        # only what the pairs need is exchanged
+        body = payload.select("node", "size", bits).join(ends(pairs), "node", "left_semi")
+        return compact(joined(pairs, body).mapInArrow(frugal(_screen_task(p)), "x long, y long"))
+
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that link: folded bitmaps first, then whole ones, then the sets themselves."""
-        brief = joined(pairs, "size", "brief").mapInArrow(frugal(_screen_task(p)), "x long, y long")
-        kept = compact(brief)
+        kept = screened(pairs, "brief")
         with small_batches(spark):
-            kept = compact(joined(kept, "size", "bits").mapInArrow(frugal(_screen_task(p)), "x long, y long"))
-            return compact(joined(kept, "shingles").mapInArrow(frugal(_exact_task(p)), "x long, y long"))
+            kept = screened(kept, "bits")
+            if kept.isEmpty():
+                return kept
+            nodes = ends(kept)
+            found = texts(active.join(nodes, "node", "left_semi")).mapInArrow(frugal(_shingles_task(n)), "node long, shingles binary")
+            if repeated:
+                found = found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+            sets = stored(found, "shingles")
+            out = compact(joined(kept, sets).mapInArrow(frugal(_exact_task(p)), "x long, y long"))
+            discard(sets)
+            return out
 
     def apart(near: DataFrame, held: DataFrame) -> DataFrame:
         """(sig, node, label, main, all) of those tiles or groups among `held` that still hold several components. The

@@ -100,6 +100,28 @@ def test_pairs_of_many_tiles_come_once(spark, monkeypatch, crowd):
     assert sum(b for _, b in seen) > 30 and all(a <= 6 * b for a, b in seen), seen
 
 
+def test_only_sets_that_bitmaps_leave_are_stored(spark, monkeypatch):
+    """Sets that share parts but differ clearly stand on disk as bitmaps alone; those of pairs that may link are made again."""
+    texts = {i: [f"c{j}" for j in range(6000)] + [f"d{i}x{j}" for j in range(2000)] for i in range(12)}
+    texts[12], texts[13] = texts[0][:-10], texts[1][:-10]
+    rows = [(i, " ".join(x)) for i, x in texts.items()] + [(0, "another text of this id"), (0, " ".join(texts[0])), (None, " ".join(texts[2][:-10]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    active, made = [], []
+
+    def counted(df, name, *given, plain=jaccard.stored):
+        out = plain(df, name, *given)
+        if name == "payload":
+            active.append(out.count())
+        if "shingles" in out.columns:
+            made.append({r.node for r in out.select("node").collect()})
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.jaccard_components(df, 1, 80).collect()}
+    assert got == {(i, len(x)): i for i, x in texts.items()} | {(12, 7990): 0, (13, 7990): 1, (0, 5): 0, (None, 7990): 2}
+    assert active[-1] == 15 and made and len(set().union(*made)) == 6, (active, made)
+
+
 def test_brief_bitmaps_of_large_sets():
     """Folded bitmaps tell large sets that have nothing in common apart, and one that has few bits hides no others."""
     texts = [" ".join(f"{c}{i}" for i in range(5000)) for c in "ab"]
