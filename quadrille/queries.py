@@ -327,8 +327,10 @@ def shown(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _number(c: Column, digits: int) -> Column:
-    # + 0.0 turns -0.0 into 0.0
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    # as SQL rounds: the scaled double, not its decimal digits; + 0.0 turns -0.0 into 0.0
+    c = c.cast("double")
+    scaled = F.round(c * 10.0**digits)
+    return F.when(F.abs(scaled) < float("inf"), scaled / 10.0**digits).otherwise(c) + F.lit(0.0)
 
 
 def _case(expression: str, digits: int) -> Callable[[SparkSession, str], DataFrame]:

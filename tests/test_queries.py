@@ -35,6 +35,20 @@ def test_query_matches_sql(spark, name):
     assert not [(a, b) for a, b in zip(mine, theirs, strict=True) if not all(map(alike, a, b))]
 
 
+def test_numbers_round_as_sql(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    # doubles next to halves, whose decimal digits and scaled values round apart
+    values = [s * (k + 0.5) / 1e6 for k in (*range(0, 3_400_000, 1013), 1000542, 2037482, 523231) for s in (1, -1)] + [0.0, -0.0, 1e300, 1e305, math.inf, -math.inf, None]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v double")
+    for digits in (0, 5, 6):
+        mine = [r[0] for r in df.orderBy("i").select(panel_queries._number(F.col("v"), digits)).collect()]
+        theirs = [r[0] for r in duckdb.execute(f"SELECT round(v, {digits}) + 0.0 FROM (SELECT unnest($1::DOUBLE[]) AS v)", [values]).fetchall()]
+        assert mine == theirs
+        assert all(x is None or x != 0 or math.copysign(1, x) == 1 for x in mine)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
