@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import PanelError
@@ -142,36 +142,48 @@ def _decay(a: list, f: Frame) -> Column:
     return total / (n * (n + 1) / 2)
 
 
-def _ewm(spread: bool):
-    """Weights (1-alpha)^age with age in rows; rows too old to matter in double precision are left out."""
-
-    def lower(a: list, f: Frame) -> Column:
-        span = a[1]
-        if isinstance(span, bool) or not isinstance(span, int | float) or span < 1:
-            raise PanelError("E-ARG-LITERAL", f"a span must be a literal of at least 1, got {span!r}")
-        keep = 1 - 2 / (span + 1)
-        x = a[0].cast("double")
-        if keep == 0:
-            return F.when(x.isNotNull(), F.lit(0.0) if spread else x)
-        rows = math.ceil(math.log(1e-17) / math.log(keep))
-        seen = F.collect_list(F.struct(x.alias("x"))).over(f.series.rowsBetween(-rows, 0))
-        start = F.struct(*[F.lit(0.0).alias(k) for k in ("w", "v", "s", "q")])
-
-        def step(acc: Column, one: Column) -> Column:
-            y = one["x"]
-            has = y.isNotNull()
-            put = lambda k, fade, add: (acc[k] * fade + F.when(has, add).otherwise(0.0)).alias(k)
-            return F.struct(put("w", keep, F.lit(1.0)), put("v", keep * keep, F.lit(1.0)), put("s", keep, y), put("q", keep, y * y))
-
-        acc = F.aggregate(seen, start, step)
-        mean = acc["s"] / acc["w"]
-        if not spread:
-            return F.when(x.isNotNull(), mean)
-        biased = F.greatest(acc["q"] / acc["w"] - mean * mean, F.lit(0.0))
-        rest = acc["w"] * acc["w"] - acc["v"]
-        return F.when(x.isNotNull(), F.when(rest <= 1e-12, F.lit(0.0)).otherwise(F.sqrt(biased * acc["w"] * acc["w"] / rest)))
-
-    return lower
+def _staged(a: list, f: Frame) -> Column:
+    raise PanelError("E-INTERNAL", "exponential weights are lowered by the planner")
+
+
+#: Sums over n rows are combined from at most this many sums over n / FAN rows.
+FAN = 8
+
+
+def ewm(df: DataFrame, x: Column, span, spread: bool, name: str) -> DataFrame:
+    """The panel with the exponentially weighted mean or deviation of x as another column.
+
+    Weights are (1-alpha)^age with age in rows; rows too old to matter in double precision are left out. The sums over
+    the last rows are made of lags of sums over fewer rows, level by level, so that a row costs the logarithm of its
+    window and no list of it is held.
+    """
+    if isinstance(span, bool) or not isinstance(span, int | float) or span < 1:
+        raise PanelError("E-ARG-LITERAL", f"a span must be a literal of at least 1, got {span!r}")
+    keep = 1 - 2 / (span + 1)
+    own = [F.col(f"`{c}`") for c in df.columns]
+    df, x = df.select("*", x.cast("double").alias(f"{name}_x")), F.col(f"{name}_x")
+    if keep == 0:
+        return df.select(*own, F.when(x.isNotNull(), F.lit(0.0) if spread else x).alias(name))
+    # no offset beyond an int; no series is as long
+    rows = min(math.ceil(math.log(1e-17) / math.log(keep)) + 1, 2**31 - 1)
+    # weights, weighted values; their squared weights and weighted squares
+    first = {"w": F.lit(1.0), "s": x} | ({"v": F.lit(1.0), "q": x * x} if spread else {})
+    fade = {k: keep * keep if k == "v" else keep for k in first}
+    part = lambda k, age: F.col(f"`{name}_{k}{age}`")
+    df = df.select("*", *[F.when(x.isNotNull(), c).otherwise(0.0).alias(f"{name}_{k}0") for k, c in first.items()])
+    size = 1
+    while size < rows:
+        ages = [size * i for i in range(1, min(FAN, math.ceil(rows / size)))]
+        df = df.select("*", *[F.lag(part(k, 0), age, 0.0).over(Frame().series).alias(f"{name}_{k}{age}") for age in ages for k in first])
+        df = df.select(*own, x, *[sum((part(k, age) * fade[k] ** age for age in ages), part(k, 0)).alias(f"{name}_{k}0") for k in first])
+        size *= len(ages) + 1
+    w, s = part("w", 0), part("s", 0)
+    mean = s / w
+    if spread:
+        biased = F.greatest(part("q", 0) / w - mean * mean, F.lit(0.0))
+        rest = w * w - part("v", 0)
+        mean = F.when(rest <= 1e-12, F.lit(0.0)).otherwise(F.sqrt(biased * w * w / rest))
+    return df.select(*own, F.when(x.isNotNull(), mean).alias(name))
 
 
 def _so_far(agg: str):
@@ -211,8 +223,8 @@ OPS: dict[str, Op] = {
         2, 2, TS, "rolling population skewness",
         lambda a, f: _full(a[0], F.skewness(a[0].cast("double")).over(_last(f, _whole(a[1], "a window"))), int(a[1]), f), WINDOW, (1,),
     ),
-    "ewm_mean": Op(2, 2, TS, "exponentially weighted mean of a span", _ewm(False), AHEAD, (1,)),
-    "ewm_std": Op(2, 2, TS, "exponentially weighted deviation of a span", _ewm(True), AHEAD, (1,)),
+    "ewm_mean": Op(2, 2, TS, "exponentially weighted mean of a span", _staged, AHEAD, (1,)),
+    "ewm_std": Op(2, 2, TS, "exponentially weighted deviation of a span", _staged, AHEAD, (1,)),
     "decay_linear": Op(2, 2, TS, "linearly decaying mean over n rows", _decay, WINDOW, (1,)),
     "resample": Op(3, 3, TS, "reduce each period of a frequency, repeated on its rows", _resample, ENTITY_WIDE, (1, 2)),
     "asof": Op(1, 1, TS, "last known value", lambda a, f: F.last(a[0], ignorenulls=True).over(f.past), AHEAD),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PanelError
 from ..functions import scalar
-from ..functions.registry import OPS, TS, XS, Frame, duration_window
+from ..functions.registry import OPS, TS, XS, Frame, duration_window, ewm
 from ..sources.kinds import AGG_OF_KIND, kind_of
 from . import nodes as N
 from .needs import bound_universe, root_chain
@@ -105,18 +105,22 @@ class Lowering:
                 op = OPS[e.name]
                 if op.lower is None:
                     raise PanelError("E-MODEL-CONTEXT", f"{e.name}() cannot stand here")
-                args = []
-                for i, a in enumerate(e.args):
-                    if i in op.raw:
-                        a = N.Literal(-a.operand.value) if isinstance(a, N.Unary) and a.op == "-" and isinstance(a.operand, N.Literal) else a
-                        if not isinstance(a, N.Literal):
-                            raise PanelError("E-ARG-LITERAL", f"argument {i + 1} of {e.name} must be a literal")
-                        args.append(a.value)
-                    else:
-                        args.append(self.column(a))
-                return op.lower(args, Frame(".".join(e.by) if e.by else None))
+                return op.lower(self.arguments(e), Frame(".".join(e.by) if e.by else None))
         raise PanelError("E-INTERNAL", f"cannot lower {type(e).__name__}")
 
+    def arguments(self, e: N.Call) -> list:
+        """A call's operands as Columns, and its literals as Python values."""
+        args = []
+        for i, a in enumerate(e.args):
+            if i in OPS[e.name].raw:
+                a = N.Literal(-a.operand.value) if isinstance(a, N.Unary) and a.op == "-" and isinstance(a.operand, N.Literal) else a
+                if not isinstance(a, N.Literal):
+                    raise PanelError("E-ARG-LITERAL", f"argument {i + 1} of {e.name} must be a literal")
+                args.append(a.value)
+            else:
+                args.append(self.column(a))
+        return args
+
     def waiting(self, e: object, ready: set, blocked: set) -> bool:
         """Whether e still needs stages; collects those whose operands are complete."""
         if e in self.stages:
@@ -136,13 +140,15 @@ class Lowering:
         extra = [self.column(e.args[0]).alias(n) for e, n in spans.items() if operands[e] == n]
         if extra:
             self.df = self.df.select("*", *extra)
-        out = []
-        for i, e in enumerate(calls):
-            name = f"__w{len(self.stages) + i}"
-            c = duration_window(e.name[5:], operands[e], e.args[1].value) if e in spans else self.column(e)
-            out.append((e, name, c.alias(name)))
-        self.df = self.df.select("*", *[c for _, _, c in out])
-        self.stages |= {e: name for e, name, _ in out}
+        names = {e: f"__w{len(self.stages) + i}" for i, e in enumerate(calls)}
+        faded = [e for e in calls if e.name in ("ewm_mean", "ewm_std")]
+        out = [(duration_window(e.name[5:], operands[e], e.args[1].value) if e in spans else self.column(e)).alias(names[e]) for e in calls if e not in faded]
+        if out:
+            self.df = self.df.select("*", *out)
+        for e in faded:
+            x, span = self.arguments(e)
+            self.df = ewm(self.df, x, span, e.name == "ewm_std", names[e])
+        self.stages |= names
 
     def run(self, statements: list[Statement]) -> DataFrame:
         """Add a column for each statement, in rounds."""

@@ -48,6 +48,32 @@ def test_series(spark, expression, expected):
     assert value(spark, expression.replace("X", "income.revenue"), TS) == [None if e is None else pytest.approx(e) for e in expected]
 
 
+@pytest.mark.parametrize("span", [1, 1.5, 3, 30, 400])
+def test_exponential_weights_over_long_series(spark, span):
+    keep = 1 - 2 / (span + 1)
+    data = {e: [None if (i + k) % 7 == 0 else math.sin(i * (k + 1)) * 10 for i in range(n)] for k, (e, n) in enumerate((("A", 1500), ("B", 9), ("C", 1)))}
+    panel = from_rows(spark, [{"entity": e, "time": D(2000, 1, 1) + dt.timedelta(i), "income.revenue": v} for e, vs in data.items() for i, v in enumerate(vs)])
+    p = prepare(f"model m {{ export mean = ewm_mean(income.revenue, {span}) export std = ewm_std(income.revenue, {span}) export both = ewm_mean(ewm_std(income.revenue, {span}), 3) }}")
+    df = lower.run(p.named("m"), p, panel)
+    # no list of the window's rows, and one exchange
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") <= 1
+    found = {(r.entity, r.time): r for r in df.collect()}
+    for e, vs in data.items():
+        w = v = s = q = 0.0
+        for i, x in enumerate(vs):
+            here = x is not None
+            w, v, s, q = w * keep + here, v * keep * keep + here, s * keep + (x or 0), q * keep + (x or 0) ** 2
+            r = found[e, D(2000, 1, 1) + dt.timedelta(i)]
+            if not here:
+                assert r["mean"] is None and r["std"] is None and r["both"] is None
+                continue
+            rest = w * w - v
+            assert r["mean"] == pytest.approx(s / w, abs=1e-9)
+            assert r["std"] == pytest.approx(0 if rest <= 1e-12 else math.sqrt(max(q / w - (s / w) ** 2, 0) * w * w / rest), abs=1e-6)
+            assert r["both"] is not None
+
+
 @pytest.mark.parametrize(
     ("expression", "expected"),
     [
